@@ -24,7 +24,7 @@ _SPANS = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\
 _GO_HEAD = re.compile(r"^func[ \t]*(?:\([^()\n]*\)[ \t]*)?([^\W\d]\w*)[ \t]*(?:\[[^\]\n]*\])?\(", re.M)
 # A name before its parameter list, at the start of a line or after type words; then anything but a semicolon up to the body.
 _C_HEAD = re.compile(r"^[ \t]*(?:[\w:<>,*&~\[\] \t]*[\s*&:~])?(~?[^\W\d]\w*|operator[^\s(\w]{1,3})[ \t]*\(", re.M)
-_NOT_NAMES = frozenset("if for while switch return sizeof catch do else case defined alignof decltype static_assert __attribute__ __declspec alignas".split())
+_NOT_NAMES = frozenset("func if for while switch return sizeof catch do else case defined alignof decltype static_assert __attribute__ __declspec alignas".split())
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-öø-ÿ]+|[^\W\d_A-Za-z]+|\d+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 

@@ -105,6 +105,8 @@ def tile(doc: list[int], item: list[int], seeds: list[tuple[int, int]], least: i
             in_doc.update(range(at, at - negative))
             in_item.update(range(place, place - negative))
             continue
+        if not free:
+            continue
         runs, first = [], None
         for i, j in zip(free, [*free[1:], None], strict=True):
             first = i if first is None else first
