@@ -9,7 +9,6 @@ that hold an orphan key are found by a salted join.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,10 +30,8 @@ class PackedBits:
         codes = np.unique(np.asarray(codes, dtype=np.int64))
         high = codes >> cls.SHIFT
         parts = {}
-        starts = np.flatnonzero(np.r_[True, high[1:] != high[:-1]]) if len(codes) else []
-        for s, e in zip(starts, [*starts[1:], len(codes)], strict=True):
-            low = (codes[s:e] & ((1 << cls.SHIFT) - 1)).astype(np.uint16)
-            parts[int(high[s])] = cls._pack(low)
+        for part in np.split(codes, np.flatnonzero(high[1:] != high[:-1]) + 1) if len(codes) else []:
+            parts[int(part[0] >> cls.SHIFT)] = cls._pack((part & ((1 << cls.SHIFT) - 1)).astype(np.uint16))
         return cls(parts)
 
     @classmethod
@@ -130,8 +127,3 @@ def find_orphans(rows: DataFrame, parents: DataFrame, *, row_id: str, period: st
 def orphan_report(orphans: DataFrame) -> DataFrame:
     """Number of orphan references per field and period."""
     return orphans.groupBy("field", "period").agg(F.count("*").alias("n_orphans"))
-
-
-def iter_codes(bits: PackedBits) -> Iterator[int]:
-    """The set bits in order."""
-    yield from map(int, bits.codes())
