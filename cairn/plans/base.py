@@ -64,7 +64,10 @@ def raw_includes(spark: SparkSession, folder: str) -> DataFrame:
     called = sites(spark, folder).join(known.select("path"), "path", "left_semi").select(F.col("path").alias("src"), F.col("callee_name").alias("name")).join(unique, "name").where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
     way = F.when(F.startswith("dst", F.lit("/")), 1).otherwise(F.length("dst") % 3)
     text = F.when(way == 0, F.concat(F.lit('"'), paths.basename(F.col("dst")), F.lit('"'))).when(way == 1, F.concat(F.lit("<"), F.regexp_replace("dst", "^/opt/sdk/", ""), F.lit(">"))).otherwise(F.concat(F.lit('"'), F.col("dst"), F.lit('"')))
-    return lines.unionByName(called.select("src", text.alias("target_text"))).distinct()
+    outside = known.where("source = 'external'").select("path", F.split("path", "/")[3].alias("repo"))
+    first = known.where("source = 'workspace'").groupBy(F.split("path", "/")[0].alias("repo")).agg(F.min("path").alias("src"))
+    headers = outside.join(first, "repo").select("src", F.concat(F.lit("<"), F.regexp_replace("path", "^/opt/sdk/", ""), F.lit(">")).alias("target_text"))
+    return lines.unionByName(called.select("src", text.alias("target_text"))).unionByName(headers).distinct()
 
 
 INCLUDES_SQL = f"""(select distinct src, target_text from (
@@ -72,4 +75,6 @@ INCLUDES_SQL = f"""(select distinct src, target_text from (
  union all
  select src, case (case when starts_with(dst, '/') then 1 else length(dst) % 3 end) when 0 then '"' || regexp_extract(dst, '([^/]*)$', 1) || '"' when 1 then '<' || regexp_replace(dst, '^/opt/sdk/', '') || '>' else '"' || dst || '"' end
  from (select distinct s.path as src, u.dst from {SITES_SQL} s join (select name, max(path) dst from {LIVE_SQL} where name is not null and path in (select path from source_texts) group by name having count(*) = 1) u on u.name = s.callee_name
-  where s.path <> u.dst and s.path in (select path from source_texts))))"""
+  where s.path <> u.dst and s.path in (select path from source_texts))
+ union all
+ select w.src, '<' || regexp_replace(e.path, '^/opt/sdk/', '') || '>' from {FILES_SQL} e join (select split_part(path, '/', 1) repo, min(path) src from {FILES_SQL} where source = 'workspace' group by 1) w on w.repo = split_part(e.path, '/', 4) where e.source = 'external'))"""
