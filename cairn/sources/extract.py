@@ -719,3 +719,75 @@ _ARROW = {n.split()[0]: {"string": pa.string(), "int": pa.int32(), "bigint": pa.
 def as_rows(facts: list[Fact]) -> list[dict]:
     """Facts as plain rows, for tests."""
     return [asdict(f) for f in facts]
+
+
+# --- extras -----------------------------------------------------------------------------------------------------
+_ATTRIBUTE = re.compile(r"__attribute__\s*\(\((?:[^()]|\([^()]*\))*\)\)|__declspec\s*\([^()]*\)|\b(?:alignas|_Alignas)\s*\([^()]*\)|\bPROTOBUF_C__(?:BEGIN|END)_DECLS\b|\bPROTOBUF_C__API\b|\b[A-Z][A-Z0-9_]*_(?:API|EXPORT)\b(?=\s+\w)")
+
+
+def recovery_source(text: str) -> str:
+    """The text with attributes and export macros blanked that keep declarations from being recognised; of the same length."""
+    return _ATTRIBUTE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+
+
+_PROTO = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|[A-Za-z_][\w.]*|\d+|[{}=;]", re.S)
+
+
+def proto_declarations(text: str | None, most_tokens: int = 262_144) -> list[tuple[str, str, str, int]]:
+    """``(kind, name, full name, line)`` of the package, messages, enums, services and their fields in a protocol definition; none of a text with more than ``most_tokens`` tokens."""
+    out: list[tuple[str, str, str, int]] = []
+    scope: list[tuple[str, str]] = []
+    package, words, n = "", [], 0
+    line, at = 0, 0
+    for m in _PROTO.finditer(text or ""):
+        n += 1
+        if n > most_tokens:
+            return []
+        line += text.count("\n", at, m.start())
+        at = m.start()
+        t = m[0]
+        if t.startswith(("//", "/*", '"')):
+            continue
+        if t == "{":
+            kind = words[0] if words else ""
+            name = words[1] if len(words) > 1 else kind
+            scope.append((kind, name))
+            if kind in ("message", "enum", "service"):
+                out.append((kind, name, ".".join([*([package] if package else []), *[x for _, x in scope]]), line))
+            words = []
+        elif t == "}":
+            if scope:
+                scope.pop()
+            words = []
+        elif t == ";":
+            plain = words[: words.index("=")] if "=" in words else words
+            if words[:1] == ["package"] and len(words) > 1:
+                package = words[1]
+                out.append(("package", package, package, line))
+            elif scope and "=" in words and plain and words[0] not in ("option", "reserved"):
+                kind = "enum_value" if scope[-1][0] == "enum" else "field"
+                out.append((kind, plain[-1], ".".join([*([package] if package else []), *[x for _, x in scope], plain[-1]]), line))
+            words = []
+        else:
+            words.append(t)
+    return out
+
+
+def labels(text: str) -> list[tuple[str, int, str]]:
+    """``(label, line, function)`` of the goto labels within functions."""
+    file = CFamily(text, "x.c", False)
+    bodies = [(f.body_start_line, f.body_end_line, f.name) for f in file.run() if f.fact == "callable" and f.role == "definition"]
+    out = []
+    ts = file.ts
+    for i in range(1, len(ts) - 1):
+        if ts[i].kind == "id" and ts[i + 1].text == ":" and ts[i - 1].text in (";", "{", "}", ":") and ts[i].text not in C_KEYWORDS:
+            line = file._line(i)
+            owner = next((n for a, b, n in bodies if a is not None and a <= line <= b), None)
+            if owner:
+                out.append((ts[i].text, line, owner))
+    return out
+
+
+def extract_words(text: str, go: bool) -> list[str]:
+    """Distinct ASCII identifiers outside of comments and literals, keywords left out, in order."""
+    return sorted({t.text for t in tokens(text, go) if t.kind == "id" and t.text.isascii() and t.text not in (GO_KEYWORDS if go else C_KEYWORDS)})
