@@ -40,8 +40,8 @@ class Settings:
     purity: float = 0.3  # share of a term's labelled documents that has to be its subject's for the term to be anchored to it
     strong: float = 0.5  # share from which on free components may not use the term
     doubt: float = 2.0  # documents at the base rates that are added before those shares are taken
-    mass: float = 8.0  # terms that a subject must account for: more than one mention of one of its terms makes
-    share: float = 0.08  # of all terms that subjects account for in the document
+    mass: float = 7.0  # terms that a subject must account for: more than one mention of one of its terms makes
+    share: float = 0.1  # of all terms that subjects account for in the document
 
 
 def terms(text: str) -> Counter[str]:
