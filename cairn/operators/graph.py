@@ -13,17 +13,18 @@ MAX_DEPTH, MAX_NODES = 32, 4096
 
 
 def _closure(origins: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """``(origin, node, depth)`` of everything reached within ``depth`` steps, each at its first arrival.
+    """``(origin, node, weak, depth)`` of everything reached within ``depth`` steps over strong edges alone (not weak) and over paths with a weak edge (weak), each at its first arrival.
 
-    Each round joins the frontier with the edges and drops what is known; the rounds are written out, so a lost executor costs one
-    round. It ends when nothing new comes.
+    edges: ``src, dst, weak``. Each round joins the frontier with the edges and drops what is known; the rounds are written out, so a lost
+    executor costs one round. It ends when nothing new comes.
     """
-    known = cut(origins.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth")).distinct())
+    known = cut(origins.select("origin", F.col("origin").alias("node"), F.lit(False).alias("weak"), F.lit(0).alias("depth")).distinct())
     layers, frontier = [known], known
+    e = edges.select("src", F.col("dst"), F.col("weak").alias("step_weak"))
     for d in range(1, depth + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("origin", F.col("dst").alias("node")).distinct()
-        seen = reduce(DataFrame.unionByName, layers).select("origin", "node")
-        frontier = cut(step.join(seen, ["origin", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        step = frontier.join(e, frontier["node"] == e["src"]).select("origin", F.col("dst").alias("node"), (F.col("weak") | F.col("step_weak")).alias("weak")).distinct()
+        seen = reduce(DataFrame.unionByName, layers).select("origin", "node", "weak")
+        frontier = cut(step.join(seen, ["origin", "node", "weak"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
         layers.append(frontier)
@@ -38,12 +39,9 @@ def reach(origins: DataFrame, edges: DataFrame, open_nodes: DataFrame, *, weak:
     lies at the greatest depth, or if more than ``max_nodes`` are reached; the reasons' order is unresolved, ambiguous, depth_limit, node_limit.
     Nothing is cut off at ``max_nodes``. Null origins and edge ends reach nothing.
     """
-    e = cut(edges.where("src is not null and dst is not null").select("src", "dst", "resolution").distinct())
+    e = cut(edges.where("src is not null and dst is not null").select("src", "dst", (F.col("resolution") == weak).alias("weak")).distinct())
     o = origins.where("origin is not null").select("origin").distinct()
-    strong = _closure(o, e.where(F.col("resolution") != weak).select("src", "dst").distinct(), depth)
-    every = _closure(o, e.select("src", "dst").distinct(), depth)
-    proven = strong.select("origin", "node", F.lit(True).alias("proven"))
-    files = every.join(proven, ["origin", "node"], "left").select("origin", F.col("node").alias("path"), F.col("proven").isNull().alias("is_heuristic"), "depth")
+    files = _closure(o, e, depth).groupBy("origin", F.col("node").alias("path")).agg(F.min("weak").alias("is_heuristic"), F.min("depth").alias("depth"))
     reasons = files.join(open_nodes.select(F.col("src").alias("path"), "reason"), "path", "left")
     rank = F.when(F.col("reason") == "unresolved_include", 0).when(F.col("reason") == "ambiguous_include", 1).when(F.col("depth") >= depth, 2)
     scope = reasons.groupBy("origin").agg(F.min(rank).alias("rank"), F.count("*").alias("n_files"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.common import table
+from cairn.common import materialize, table
 from cairn.functions import paths as P
 from cairn.operators import graph, includes, packages
 from cairn.plans.base import FILES_SQL, INCLUDES_SQL, files, raw_includes
@@ -89,7 +89,7 @@ def _origins(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _reach(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    resolved = _resolved(spark, folder)
+    resolved = materialize(_resolved(spark, folder), "resolved")
     return graph.reach(_origins(spark, folder), includes.include_edges(resolved, files(spark, folder)), includes.open_nodes(resolved))
 
 
