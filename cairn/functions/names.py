@@ -78,7 +78,8 @@ def shared_segments(a: Column, b: Column) -> Column:
 
 def locality(path: Column, current: Column) -> Column:
     """Bonus of ten per shared leading segment, at most a hundred; none without a current file."""
-    return F.coalesce(F.least(shared_segments(path, current), F.lit(LOCALITY_SEGMENTS)) * LOCALITY_STEP, F.lit(0)).cast("int")
+    near = F.least(shared_segments(path, current), F.lit(LOCALITY_SEGMENTS)) * LOCALITY_STEP
+    return F.when(path.isNull() | current.isNull(), 0).otherwise(near).cast("int")
 
 
 def tier_rank(tier: Column) -> Column:
