@@ -276,7 +276,7 @@ class CFamily:
         words = [t.text for t in head]
         if body is not None and paren is None and any(w in ("struct", "union", "class", "enum") for w in words):
             return self._record(first, body, end, spaces, record, "typedef" in words)
-        if not head:
+        if not head or (body is None and j >= end):  # nothing, or no end: not a declaration
             return (pair[body] if body is not None else j) + 1
         if words[0] == "using":
             if equals is not None and len(head) > 2:
@@ -404,12 +404,12 @@ class CFamily:
             if record:
                 self.facts.append(Fact("member", name=name.text, kind="field", owner=record, detail=kind_of_type, **self._at(name)))
                 continue
-            init = cut < b and ts[cut].text == "="
-            role = "definition" if init else "declaration" if "extern" in words else "definition" if self.cpp else "tentative"
+            init = next((k for k in range(cut, b) if ts[k].text == "="), None)
+            role = "definition" if init is not None else "declaration" if "extern" in words else "definition" if self.cpp else "tentative"
             internal = "static" in words or (self.cpp and "const" in words and "extern" not in words) or "(anonymous)" in spaces
             self._named("object", name, role, spaces, record, detail=kind_of_type, linkage_kind="internal" if internal else "external")
-            if init:
-                self._body(cut + 1, b, None, None)
+            if init is not None:
+                self._body(init + 1, b, None, None)
 
     # --- bodies: calls and local bindings -----------------------------------------------------------------------
     def _body(self, a: int, b: int, caller: str | None, body: int | None) -> None:
