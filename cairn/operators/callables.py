@@ -52,8 +52,8 @@ def arity_policy(candidates: DataFrame, group: str, n: Column) -> DataFrame:
 def primary_anchors(anchors: DataFrame) -> DataFrame:
     """One anchor per ``entity``: definitions first, then parsed ones, then by path and place; with ``has_body`` of any of them."""
     w = Window.partitionBy("entity").orderBy((F.col("role") != "definition").cast("int"), (F.col("provenance") != "ast").cast("int"), "path", "start_byte", "id")
-    rows = anchors.withColumn("_r", F.row_number().over(w)).withColumn("any_body", F.max(F.col("has_body").cast("int")).over(Window.partitionBy("entity")) == 1)
-    return rows.where("_r = 1").drop("_r")
+    first = anchors.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return first.join(anchors.groupBy("entity").agg((F.max(F.col("has_body").cast("int")) == 1).alias("any_body")), "entity")
 
 
 def resolve_calls(calls: DataFrame, entities: DataFrame) -> DataFrame:
@@ -111,9 +111,8 @@ def relations(resolved: DataFrame, callers: DataFrame) -> DataFrame:
 
 def relation_page(relations: DataFrame, by: str, order: list[str], skip: int, take: int) -> DataFrame:
     """Rows ``skip`` to ``skip + take`` of each value of ``by`` in order, with ``position`` and the ``total``."""
-    w = Window.partitionBy(by)
-    rows = relations.withColumn("position", F.row_number().over(w.orderBy(*order))).withColumn("total", F.count("*").over(w))
-    return rows.where((F.col("position") > skip) & (F.col("position") <= skip + take))
+    top = relations.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("position") <= skip + take)
+    return top.where(F.col("position") > skip).join(relations.groupBy(by).agg(F.count("*").alias("total")), by)
 
 
 def expansion_budget(calls: DataFrame, costs: DataFrame, group: str, order: list[str], limit: int) -> DataFrame:

@@ -45,13 +45,12 @@ def grouped(candidates: DataFrame) -> DataFrame:
 
 def focus(groups: DataFrame, intent: Column) -> DataFrame:
     """Grouped candidates with ``focused``: the group has the highest tier among those the intent accepts, or among all if it accepts none."""
-    w = Window.partitionBy("query")
     accepts = R.intent_accepts(intent, F.col("kind")).cast("int")
-    rows = groups.withColumn("accepted", F.max(accepts).over(Window.partitionBy("query", "group_key")))
-    rows = rows.withColumn("any_accepted", F.max("accepted").over(w))
-    rows = rows.withColumn("eligible", F.col("accepted") == F.col("any_accepted"))
-    top = F.max(F.when(F.col("eligible"), F.col("group_tier"))).over(w)
-    return rows.withColumn("focused", F.col("eligible") & (F.col("group_tier") == top))
+    per_group = groups.groupBy("query", "group_key").agg(F.max(accepts).alias("accepted"), F.max("group_tier").alias("top"))
+    # Per query by aggregation, not by a window: a frequent name's candidates never come together in one task.
+    per_query = per_group.groupBy("query").agg(F.max("accepted").alias("any_accepted"), F.max(F.struct("accepted", "top")).alias("x")).select("query", "any_accepted", F.col("x.top").alias("best"))
+    focused = per_group.join(per_query, "query").select("query", "group_key", ((F.col("accepted") == F.col("any_accepted")) & (F.col("top") == F.col("best"))).alias("focused"))
+    return groups.join(focused, ["query", "group_key"])
 
 
 def dispositions(focused: DataFrame, complete: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.common import cut
@@ -72,9 +72,8 @@ def package_reach(origins: DataFrame, edges: DataFrame, members: DataFrame, *, d
 
 def normalized_edges(edges: DataFrame) -> DataFrame:
     """Per source the distinct edges in visiting order: direct external ones first, then by target, then by resolution."""
-    first = (F.col("resolution") != "external_exact").cast("int")
-    e = edges.distinct().groupBy("src").agg(F.sort_array(F.collect_list(F.struct(first.alias("later"), "dst", "resolution"))).alias("e"))
-    return e.select("src", F.posexplode("e").alias("position", "e")).select("src", "position", "e.dst", "e.resolution")
+    w = Window.partitionBy("src").orderBy((F.col("resolution") != "external_exact").cast("int"), "dst", "resolution")
+    return edges.select("src", "dst", "resolution").distinct().withColumn("position", F.row_number().over(w) - 1)
 
 
 def direct_external(edges: DataFrame) -> DataFrame:

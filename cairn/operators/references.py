@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.search import top_per_key
+
 # Order of the roles in a list of references.
 ROLE_RANK = {"definition": 0, "declaration": 1, "call": 2, "write": 3, "type_use": 4, "read": 5}
 
@@ -38,8 +40,7 @@ def occurrences(texts: DataFrame, names: Sequence[str], *, text: str, path: str,
     )
     found = hits.select("name", "path", F.col("line").cast("long").alias("line"), col.cast("long").alias("col"), role.alias("role"))
     rank = F.coalesce(*[F.when(F.col("role") == r, i) for r, i in ROLE_RANK.items()])
-    w = Window.partitionBy("name").orderBy(rank, "path", "line", "col")
-    return found.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
+    return top_per_key(found, "name", [rank, F.col("path"), F.col("line"), F.col("col")], limit)
 
 
 def relative_tokens(tokens: DataFrame, group: str, order: list[str]) -> DataFrame:

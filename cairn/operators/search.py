@@ -83,6 +83,9 @@ def with_quotas(rows: DataFrame, needles: Sequence[str], limit: int) -> DataFram
     """Recall with quotas: at most ``limit`` reachable and global rows and half as many external and unknown ones, then the best of the rest up to three times ``limit``; the first ``limit`` of these in order."""
     channel = F.when(F.col("tier").isin("current", "reachable"), "reachable").otherwise(F.col("tier"))
     found = scored(rows, needles).withColumn("channel", channel)
+    # No row behind the first 3 * limit of its channel can be taken; they are dropped before the shuffle.
+    near = Window.partitionBy("needle", "channel").orderBy(*search_order())
+    found = found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= 3 * limit)
     found = found.withColumn("place", F.row_number().over(Window.partitionBy("needle").orderBy(*search_order())))
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("needle", "channel").orderBy("place")))
     quota = F.when(F.col("channel").isin("reachable", "global"), limit).otherwise(limit // 2)
@@ -100,8 +103,14 @@ def prefix_range(rows: DataFrame, column: str, *prefixes: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def first_wins(parts: list[DataFrame], key: str, order: list[str]) -> DataFrame:
-    """Union of parts in their order, each key once where it comes first, with its ``position``."""
+def first_wins(parts: list[DataFrame], key: str, keep: list[str]) -> DataFrame:
+    """Union of parts in their order, each key once, where it comes first: ``key, part, *keep``."""
     rows = reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
-    kept = rows.groupBy(key).agg(F.min(F.struct("part", *[c for c in order if c != key])).alias("x")).select(key, "x.*")
-    return kept.withColumn("position", F.row_number().over(Window.orderBy("part", *order)))
+    return rows.groupBy(key).agg(F.min(F.struct("part", *keep)).alias("x")).select(key, "x.*")
+
+
+def top_per_key(rows: DataFrame, key: str, order: list[Column], limit: int, salts: int = 32) -> DataFrame:
+    """The first ``limit`` rows of each key with their ``position``, for limits above what the optimizer cuts before the shuffle: every key is cut in ``salts`` parts first."""
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    part = salted.withColumn("_p", F.row_number().over(Window.partitionBy(key, "_s").orderBy(*order))).where(F.col("_p") <= limit).drop("_s", "_p")
+    return part.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("position") <= limit)

@@ -204,7 +204,7 @@ def u4_priority_union(spark: SparkSession, folder: str) -> DataFrame:
     """Anchors named reset of the priority paths first, then all of them, each once."""
     a = live_anchors(spark, folder).where("name = 'reset'").select("id", "path")
     first = a.where(F.length("path") % 5 == 0)
-    return search.first_wins([first, a], "id", ["path", "id"]).select("position", "id", "part")
+    return search.first_wins([first, a], "id", ["path"]).select("id", "path", "part")
 
 
 def u5_narrowed_pool(spark: SparkSession, folder: str) -> DataFrame:
@@ -260,6 +260,6 @@ SQL = {
  k as (select *, (channel = 'reachable' and r <= 40) or (channel = 'external' and r <= 20) or (channel = 'unknown' and r <= 20) or (channel = 'global' and r <= 40) as quota from c),
  f as (select *, row_number() over (partition by needle order by quota desc, place) as taken from k)
  select needle, row_number() over (partition by needle order by place) as position, id, channel from (select * from f where taken <= 120) qualify position <= 40""",
-    "u4_priority_union": f"select row_number() over (order by part, path, id) as position, id, part from (select id, path, case when length(path) % 5 = 0 then 0 else 1 end as part from {LIVE_SQL} where name = 'reset')",
+    "u4_priority_union": f"select id, path, case when length(path) % 5 = 0 then 0 else 1 end as part from {LIVE_SQL} where name = 'reset'",
     "u5_narrowed_pool": f"select name, {_sql_score(chr(39) + 'res' + chr(39), 'name')} as score from {_NAMES} where ({_sql_score(chr(39) + 'res' + chr(39), 'name')}) is not null",
 }
