@@ -4,6 +4,9 @@ The state of a feed is a parquet table partitioned by a hash bucket of the key.
 was delivered since the last successful run (row count and sum of row hashes, both additive), recomputes the buckets
 that got rows and replaces each by dynamic partition overwrite. The fingerprints are written last: they are the commit.
 
+Dynamic overwrite moves each partition into place by a rename after removing the old one; a run that dies between the
+two leaves a bucket missing, which the next run finds and rebuilds from the deliveries up to the last commit.
+
 Exactly once: a row of the state keeps, beside its watched values, their value at the last commit before the run that
 wrote it. A run that dies between replacing buckets and its commit leaves rows whose run is not committed; the next
 run, under whatever id, compares with the kept values, so nothing is skipped and nothing reported twice.
@@ -85,13 +88,16 @@ class ChangeFeed:
             touched = sorted(b for b in prints.keys() | got.keys() if prints.get(b) != got.get(b))
         else:
             touched = sorted(got)
-        # Buckets that a dead run replaced but never committed are taken again as well.
-        dirty = []
-        state = self._stored("state")
+        # Buckets that a dead run replaced but never committed are taken again; one that it removed and did not put back is rebuilt.
+        state, dirty, lost = self._stored("state"), [], []
         if state is not None:
-            dirty = [r[0] for r in state.where(F.col("run") > (last if last is not None else -(2**62))).select("bucket").distinct().collect()]
-        todo = sorted({*touched, *dirty})
+            there = {r["bucket"]: r["run"] for r in state.groupBy("bucket").agg(F.max("run").alias("run")).collect()}  # one row per bucket
+            dirty = [b for b, run in there.items() if last is None or run > last]
+            lost = [b for b in prints if b not in there] if not rewind else []
+        todo = sorted({*touched, *dirty, *lost})
         if todo:
+            if lost:
+                state = state.unionByName(self._rebuilt(valid.where(F.col(self.delivery) <= seen), lost, last), allowMissingColumns=True)
             self._replace(self._merged(fresh, state, todo, last, run_id, rewind), "state", "bucket")
             changed = self._stored("state").where(F.col("bucket").isin(todo) & (F.col("run") == run_id) & ~F.col("now").eqNullSafe(F.col("was")))
             self._replace(changed.select("key", F.lit(run_id).cast("bigint").alias("run_id")), "changes", "run_id")
@@ -99,11 +105,20 @@ class ChangeFeed:
         commit = [(b, n, s, upto, run_id) for b, (n, s) in sorted(new.items())] or [(-1, 0, 0, upto, run_id)]
         self._replace(self.spark.createDataFrame(commit, "bucket int, n_rows bigint, row_sum bigint, upto bigint, run_id bigint").coalesce(1), "prints", "run_id")
 
-    def _merged(self, fresh: DataFrame, state: DataFrame | None, todo: list[int], last: int | None, run_id: int, rewind: bool) -> DataFrame:
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        """``(bucket, key, x)``: the newest row of each key, reduced before the shuffle: a key with very many rows is no hot spot."""
         now = F.struct(*[F.col(c).alias(f"w{i}") for i, c in enumerate(self.watched)])
-        # The newest row of each key, reduced before the shuffle: a key with very many rows is no hot spot.
-        delta = fresh.groupBy(F.col(self.key).alias("key")).agg(F.max(F.struct(F.col(self.newest).alias("newest"), F.col(self.delivery).alias("delivery"), now.alias("now"))).alias("x"))
-        delta = delta.select(self._bucket(F.col("key")).alias("bucket"), "key", "x", F.lit(None).cast(delta.schema["x"].dataType["now"].dataType).alias("was"), F.lit(False).alias("had"))
+        newest = rows.groupBy(F.col(self.key).alias("key")).agg(F.max(F.struct(F.col(self.newest).alias("newest"), F.col(self.delivery).alias("delivery"), now.alias("now"))).alias("x"))
+        return newest.select(self._bucket(F.col("key")).alias("bucket"), "key", "x")
+
+    def _rebuilt(self, rows: DataFrame, buckets: list[int], last: int | None) -> DataFrame:
+        """The state of some buckets as it was committed, from all deliveries up to then."""
+        own = self._newest(rows.where(self._bucket(F.col(self.key)).isin(buckets)))
+        return own.select("key", "x.newest", "x.delivery", "x.now", F.col("x.now").alias("was"), F.lit(last).cast("bigint").alias("run"), "bucket")
+
+    def _merged(self, fresh: DataFrame, state: DataFrame | None, todo: list[int], last: int | None, run_id: int, rewind: bool) -> DataFrame:
+        delta = self._newest(fresh)
+        delta = delta.select("bucket", "key", "x", F.lit(None).cast(delta.schema["x"].dataType["now"].dataType).alias("was"), F.lit(False).alias("had"))
         if state is None:
             both = delta
         else:

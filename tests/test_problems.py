@@ -1,6 +1,7 @@
 """Problems 1 to 4 against brute force, with the edge cases their docstrings name."""
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,17 @@ def test_incremental_run_that_dies(spark, tmp_path, dies_at):
     assert {tuple(r) for r in feed.changes().collect()} == brute_runs(rows, [(1, 2), (3, 6)])
 
 
+def test_incremental_state_that_lost_a_bucket(spark, tmp_path):
+    """A run that dies after the old partition is removed and before the new one is in place."""
+    rows = entries(6)
+    df = spark.createDataFrame(rows, ENTRY)
+    feed = feed_of(spark, tmp_path / "feed")
+    feed.run(1, df, 3)
+    shutil.rmtree(next((tmp_path / "feed/state").glob("bucket=*")))
+    feed.run(2, df, 5)
+    assert {tuple(r) for r in feed.changes().collect()} == brute_runs(rows, [(1, 3), (2, 5)])
+
+
 def test_incremental_rewind_and_empty(spark, tmp_path):
     rows = entries(8)
     df = spark.createDataFrame(rows, ENTRY)
