@@ -391,5 +391,6 @@ SQL = {
     "q_p2_definitions": f"select query, row_number() over (partition by query order by packed desc, path, start_line, id) as place, id, packed from (select *, tier_rank * 2048 + {CQ._DEFBASE} + {CQ._LOCAL} as packed from (select *, min(rr) over (partition by query, group_key) b from (select *, case role when 'definition' then 0 when 'tentative' then 1 when 'declaration' then 2 when 'unknown' then 3 else 9 end rr from {CQ._FOCUSED} where focused)) where case when b = 9 then position = 1 else rr = b end)",
     "q_p5_completion": f"with r as ({CQ.SQL['x11_final_rank']}), m as (select *, {NQ._sql_score(chr(39) + 're' + chr(39), 'name')} as s from {CQ._MERGED}) select row_number() over (order by case when lower(name) = 're' then 2 when starts_with(lower(name), 're') then 1 else 0 end desc, final_rank desc, {_SRC} desc, match_score desc, length(name), name) as position, name, final_rank from m join r using (name) where s >= 650 order by position limit 100",
     "q_p10_signature_help": f"select site_id, n, id, presentation_signature from (select c.site_id, a.id, a.presentation_signature, row_number() over (partition by c.site_id order by case c.compatibility when 'compatible' then 0 when 'unknown' then 1 else 2 end, a.path, a.start_byte, a.id) as n from ({CQ.SQL['q_p18_callable_candidates']}) c join {LIVE_SQL} a using (id)) where n <= 10",
+    "q_p13_possible_targets": f"select query, id, tier, group_tier = max(group_tier) over (partition by query) as focused, position from {CQ._GROUPED}",
     "q_p17_resolved_handles": f"select id, presentation_signature from {LIVE_SQL} where id % 10 = 0 and id % 3 <> 0",
 }
