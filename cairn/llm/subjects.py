@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from cairn.common import materialize
 
-_WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+(?:[\W\d_][^\W\d_]+)*")
+_BREAK = re.compile(r"[\W\d_]")
+_PAIR, _SPREAD, _PRIME = 1 << 60, 2_654_435_761, (1 << 61) - 1
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -40,35 +42,42 @@ class Settings:
     purity: float = 0.3  # share of a term's labelled documents that has to be its subject's for the term to be anchored to it
     strong: float = 0.5  # share from which on free components may not use the term
     doubt: float = 2.0  # documents at the base rates that are added before those shares are taken
-    mass: float = 7.0  # terms that a subject must account for: more than one mention of one of its terms makes
+    mass: float = 8.0  # terms that a subject must account for: more than one mention of one of its terms makes
     share: float = 0.1  # of all terms that subjects account for in the document
 
 
-def terms(text: str) -> Counter[str]:
-    """Words and pairs of adjacent words; identifiers are split, letter case and a plural s do not count."""
-    out: list[str] = []
-    last, end = "", -9
-    text = _HUMP.sub(" ", text)
-    for m in _WORD.finditer(text):
-        w = m[0].lower()
-        if len(w) > 3 and w[-1] == "s" and w[-2] != "s":
-            w = w[:-1]
-        if len(w) < 2:
-            end = -9
-            continue
-        out.append(w)
-        if m.start() - end <= 1:
-            out.append(f"{last} {w}")
-        last, end = w, m.end()
-    return Counter(out)
+#: Spellings kept per worker with their number (a bound on memory only).
+CACHE_WORDS = 200_000
+_known: dict[str, int] = {}
+
+
+def _number(word: str) -> int:
+    """Number of a word without letter case and plural s; nought for a single letter."""
+    w = word.lower()
+    if len(w) > 3 and w[-1] == "s" and w[-2] != "s":
+        w = w[:-1]
+    n = crc32(w.encode()) + 1 if len(w) > 1 else 0
+    if len(_known) < CACHE_WORDS:
+        _known[word] = n
+    return n
 
 
 def hashed(text: str | None, dimensions: int) -> tuple[list[int], list[float]]:
-    """The hashed term counts of a text; nothing for a null or blank one."""
-    found: Counter[int] = Counter()
-    for term, n in terms(text or "").items():
-        found[crc32(term.encode()) % dimensions] += n
-    return list(found.keys()), list(map(float, found.values()))
+    """Hashed counts of the words of a text and of the pairs of words with one character between, identifiers split into words; nothing for a null or blank text."""
+    found: list[int] = []
+    get = _known.get
+    for run in _RUN.findall(_HUMP.sub(" ", text or "")):
+        numbers = [get(w) or _number(w) for w in _BREAK.split(run)]
+        found += numbers
+        if len(numbers) > 1:
+            found += [(a * 1_000_003 ^ b) | _PAIR if a and b else 0 for a, b in zip(numbers, numbers[1:], strict=False)]
+    counts = Counter(found)
+    counts.pop(0, None)
+    folded: dict[int, float] = {}
+    for n, c in counts.items():
+        at = n * _SPREAD % _PRIME % dimensions
+        folded[at] = folded.get(at, 0.0) + c
+    return list(folded), list(folded.values())
 
 
 def term_matrix(docs: DataFrame, *, doc_id: str, text: str, settings: Settings) -> DataFrame:
@@ -103,6 +112,24 @@ def plain(subject: str) -> str:
     return re.sub(r"[\s\-_]+", "_", subject.strip().lower())
 
 
+@dataclass(frozen=True)
+class Factor:
+    """A factor by term: the components that have it, and with what value."""
+
+    components: int
+    sizes: np.ndarray
+    starts: np.ndarray
+    comp: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, h: np.ndarray) -> Factor:
+        """From components x terms."""
+        term, comp = np.nonzero(h.T)
+        sizes = np.bincount(term, minlength=h.shape[1])
+        return cls(h.shape[0], sizes, np.cumsum(sizes) - sizes, comp, h[comp, term])
+
+
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row number, term and count of each entry of a batch."""
     lists = batch.column(1)
@@ -110,21 +137,35 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(), batch.column(2).flatten().to_numpy().astype(np.float32)
 
 
-def _weights(row: np.ndarray, idx: np.ndarray, cnt: np.ndarray, n: int, h: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of ``n`` documents under ``h`` (components x terms) and each entry's shares of the components."""
-    k = h.shape[0]
-    used = h[:, idx].T.astype(np.float32)  # entries x components
-    w = np.ones((n, k), dtype=np.float32)
-    starts = np.searchsorted(row, np.arange(n))
-    some = np.flatnonzero(np.diff(np.r_[starts, len(row)]))
-    part = used
-    for _ in range(steps):
-        part = used * w[row]
-        part *= (cnt / np.maximum(part.sum(axis=1), 1e-12))[:, None]
-        w = np.zeros((n, k), dtype=np.float32)
-        if len(some):
-            w[some] = np.add.reduceat(part, starts[some], axis=0)
-    return w, part
+def _weights(row: np.ndarray, idx: np.ndarray, cnt: np.ndarray, n: int, factor: Factor, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of ``n`` documents (n x components), and what each entry gives to each component that its term has: term, component and amount.
+
+    Entries are spread over the components of their term only; those whose term belongs to one component are its from the start.
+    """
+    k = factor.components
+    size = factor.sizes[idx]
+    first = np.cumsum(size) - size
+    at = np.repeat(factor.starts[idx] - first, size) + np.arange(size.sum())  # places in the factor's list
+    comp, value = factor.comp[at], factor.value[at]
+    cell = np.repeat(row, size) * k + comp
+    alone = np.repeat(size == 1, size)
+    amount = np.repeat(cnt, size)
+    sure = np.bincount(cell[alone], weights=amount[alone], minlength=n * k)
+    shared = np.flatnonzero(~alone)
+    cells, values, counts = cell[shared], value[shared], cnt[size > 1]
+    group = size[size > 1]
+    begins = np.cumsum(group) - group
+    w = np.ones(n * k)
+    p = values
+    for _ in range(steps if len(shared) else 0):
+        p = values * w[cells]
+        p *= np.repeat(counts / np.maximum(np.add.reduceat(p, begins), 1e-30), group)
+        w = sure + np.bincount(cells, weights=p, minlength=n * k)
+    if len(shared):
+        amount[shared] = p
+    else:
+        w = sure
+    return w.reshape(n, k), np.repeat(idx, size), comp, amount
 
 
 def _summed(matrix: DataFrame, partial, width: int, size: int) -> np.ndarray:
@@ -159,12 +200,17 @@ def factor(spark: SparkSession, matrix: DataFrame, votes: dict, areas: DataFrame
         row, idx, cnt = _flat(batch)
         _add(total, idx, 2 * k, cnt)
         _add(total, idx, 2 * k + 1, np.ones(len(idx)))
-        known = [shared.value.get(d) for d in batch.column(0).to_pylist()]
-        if any(v is not None for v in known):
-            y = np.stack([np.zeros(k, np.float32) if v is None else v for v in known])
+        votes_of = [(i, v) for i, d in enumerate(batch.column(0).to_pylist()) if (v := shared.value.get(d)) is not None]
+        if votes_of:
+            y = np.zeros((len(batch), k), np.float32)
+            y[[i for i, _ in votes_of]] = np.stack([v for _, v in votes_of])
+            labelled = y.any(axis=1)[row]
+            row, idx, cnt = row[labelled], idx[labelled], cnt[labelled]
             for i in range(k):
-                _add(total, idx, i, cnt * y[row, i])
-                _add(total, idx, k + i, y[row, i])
+                own = y[row, i]
+                some = own > 0
+                _add(total, idx[some], i, cnt[some] * own[some])
+                _add(total, idx[some], k + i, own[some])
 
     sums = _summed(matrix, seeds, 2 * k + 2, size)
     n_docs = max(1, matrix.count())
@@ -188,16 +234,14 @@ def factor(spark: SparkSession, matrix: DataFrame, votes: dict, areas: DataFrame
     h[k:] = (usable & ~taken) * rate * rng.uniform(0.8, 1.2, (settings.free, size))
     h = _rows_to_one(h)
     for _ in range(settings.rounds):
-        now = spark.sparkContext.broadcast(h.astype(np.float32))
+        now = spark.sparkContext.broadcast(Factor.of(h))
 
         def update(batch: pa.RecordBatch, total: np.ndarray, now=now) -> None:
             row, idx, cnt = _flat(batch)
-            keep = now.value[:, idx].any(axis=0)
-            row, idx, cnt = row[keep], idx[keep], cnt[keep]
-            if len(idx):
-                _, part = _weights(row, idx, cnt, len(batch), now.value, settings.inner)
-                for i in range(part.shape[1]):
-                    _add(total, idx, i, part[:, i])
+            keep = now.value.sizes[idx] > 0
+            if keep.any():
+                _, term, comp, amount = _weights(row[keep], idx[keep], cnt[keep], len(batch), now.value, settings.inner)
+                total += np.bincount(term.astype(np.int64) * total.shape[1] + comp, weights=amount, minlength=total.size).reshape(total.shape)
 
         h = _rows_to_one(_summed(matrix, update, k + settings.free, size))
         now.unpersist()
@@ -224,15 +268,14 @@ def subject_masses(docs: DataFrame, labels: DataFrame, areas: DataFrame, *, doc_
         return spark.createDataFrame([], schema)
     matrix = term_matrix(docs, doc_id=doc_id, text=text, settings=settings)
     votes = seed_labels(labels, names, doc_id=doc_id, subject=subject, limit=settings.labelled)
-    h = spark.sparkContext.broadcast(factor(spark, matrix, votes, about, names, settings).astype(np.float32))
+    h = spark.sparkContext.broadcast(Factor.of(factor(spark, matrix, votes, about, names, settings)))
     k = len(names)
 
     def mixtures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, idx, cnt = _flat(batch)
-            keep = h.value[:, idx].any(axis=0)
-            w, _ = _weights(row[keep], idx[keep], cnt[keep], len(batch), h.value, 3 * settings.inner)
-            w = w[:, :k].astype(np.float64)
+            keep = h.value.sizes[idx] > 0
+            w = _weights(row[keep], idx[keep], cnt[keep], len(batch), h.value, 3 * settings.inner)[0][:, :k]
             share = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
             at, which = np.nonzero(w > 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([names[i] for i in which], pa.string()), pa.array(w[at, which]), pa.array(share[at, which])], ["doc_id", "subject", "mass", "share"])
