@@ -22,9 +22,18 @@ from pyspark.sql import functions as F
 
 from cairn.common import materialize
 
-_RUN = re.compile(r"[^\W\d_]+(?:[\W\d_][^\W\d_]+)*")
-_BREAK = re.compile(r"[\W\d_]")
 _PAIR, _SPREAD, _PRIME = 1 << 60, 2_654_435_761, (1 << 61) - 1
+
+
+class _Letters(dict):
+    """Translation that leaves letters and makes a space of everything else."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = out = code if chr(code).isalpha() else 32
+        return out
+
+
+_LETTERS = _Letters()
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -64,13 +73,10 @@ def _number(word: str) -> int:
 
 def hashed(text: str | None, dimensions: int) -> tuple[list[int], list[float]]:
     """Hashed counts of the words of a text and of the pairs of words with one character between, identifiers split into words; nothing for a null or blank text."""
-    found: list[int] = []
     get = _known.get
-    for run in _RUN.findall(_HUMP.sub(" ", text or "")):
-        numbers = [get(w) or _number(w) for w in _BREAK.split(run)]
-        found += numbers
-        if len(numbers) > 1:
-            found += [(a * 1_000_003 ^ b) | _PAIR if a and b else 0 for a, b in zip(numbers, numbers[1:], strict=False)]
+    # Two separators in a row leave an empty word between, which pairs with nothing.
+    numbers = [n if (n := get(w)) is not None else _number(w) for w in _HUMP.sub(" ", text or "").translate(_LETTERS).split(" ")]
+    found = numbers + [(a * 1_000_003 ^ b) | _PAIR if a and b else 0 for a, b in zip(numbers, numbers[1:], strict=False)]
     counts = Counter(found)
     counts.pop(0, None)
     folded: dict[int, float] = {}
