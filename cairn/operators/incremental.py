@@ -15,7 +15,7 @@ run, under whatever id, compares with the kept values, so nothing is skipped and
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +38,7 @@ class ChangeFeed:
     delivery: str
     watched: Sequence[str]
     buckets: int = 64
+    _known: tuple[int, int, dict[int, tuple[int, int]]] | None = field(default=None, init=False, repr=False)  # this writer's last commit
 
     # --- layout -------------------------------------------------------------------------------------------------
     def _path(self, part: str) -> str:
@@ -61,6 +62,8 @@ class ChangeFeed:
     # --- fingerprints -------------------------------------------------------------------------------------------
     def committed(self) -> tuple[int | None, int | None, dict[int, tuple[int, int]]]:
         """Last committed run, its delivery and the fingerprint of every bucket (at most ``buckets`` of them)."""
+        if self._known:
+            return self._known
         prints = self._stored("prints")
         last = None if prints is None else prints.agg(F.max("run_id")).first()[0]
         if last is None:
@@ -104,6 +107,7 @@ class ChangeFeed:
         new = got if rewind else {b: ((p := prints.get(b, (0, 0)))[0] + got.get(b, (0, 0))[0], (p[1] + got.get(b, (0, 0))[1]) % 2**61) for b in prints.keys() | got.keys()}
         commit = [(b, n, s, upto, run_id) for b, (n, s) in sorted(new.items())] or [(-1, 0, 0, upto, run_id)]
         self._replace(self.spark.createDataFrame(commit, "bucket int, n_rows bigint, row_sum bigint, upto bigint, run_id bigint").coalesce(1), "prints", "run_id")
+        self._known = run_id, upto, new
 
     def _newest(self, rows: DataFrame) -> DataFrame:
         """``(bucket, key, x)``: the newest row of each key, reduced before the shuffle: a key with very many rows is no hot spot."""
