@@ -10,7 +10,6 @@ than others. Free components take up what belongs to no subject. The weights thu
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -22,7 +21,8 @@ from pyspark.sql import functions as F
 
 from cairn.common import materialize
 
-_PAIR, _SPREAD, _PRIME = 1 << 60, 2_654_435_761, (1 << 61) - 1
+#: Odd multipliers of the hashes of pairs and of terms.
+_PAIR, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Letters(dict):
@@ -41,7 +41,7 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Settings:
     """Sizes that bound what is gathered on the driver (dimensions x components numbers), and the thresholds of the decision."""
 
-    dimensions: int = 1 << 18
+    dimensions: int = 1 << 18  # a power of two
     free: int = 4  # components without a subject
     rounds: int = 5
     inner: int = 4  # updates of the weights in each round
@@ -71,19 +71,26 @@ def _number(word: str) -> int:
     return n
 
 
-def hashed(text: str | None, dimensions: int) -> tuple[list[int], list[float]]:
-    """Hashed counts of the words of a text and of the pairs of words with one character between, identifiers split into words; nothing for a null or blank text."""
+def hashed(texts: list[str | None], dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed counts of the words of texts and of their pairs of words with one character between, identifiers split into words: offsets of the texts, terms, counts. A null or blank text has none."""
     get = _known.get
-    # Two separators in a row leave an empty word between, which pairs with nothing.
-    numbers = [n if (n := get(w)) is not None else _number(w) for w in _HUMP.sub(" ", text or "").translate(_LETTERS).split(" ")]
-    found = numbers + [(a * 1_000_003 ^ b) | _PAIR if a and b else 0 for a, b in zip(numbers, numbers[1:], strict=False)]
-    counts = Counter(found)
-    counts.pop(0, None)
-    folded: dict[int, float] = {}
-    for n, c in counts.items():
-        at = n * _SPREAD % _PRIME % dimensions
-        folded[at] = folded.get(at, 0.0) + c
-    return list(folded), list(folded.values())
+    numbers: list[int] = []
+    ends = [0]
+    for text in texts:
+        if text:
+            # Two separators in a row leave an empty word between, which pairs with nothing.
+            numbers += [n if (n := get(w)) is not None else _number(w) for w in _HUMP.sub(" ", text).translate(_LETTERS).split(" ")]
+        numbers.append(0)
+        ends.append(len(numbers))
+    words = np.array(numbers, dtype=np.uint64)
+    of = np.repeat(np.arange(len(texts)), np.diff(ends))
+    both = (words[:-1] != 0) & (words[1:] != 0)
+    pairs = (words[:-1][both] * _PAIR) ^ words[1:][both]
+    shift = np.uint64(64 - (dimensions - 1).bit_length())
+    some = words != 0
+    term = np.concatenate([words[some], pairs]) * _SPREAD >> shift
+    key, count = np.unique(np.concatenate([of[some], of[:-1][both]]).astype(np.int64) * dimensions + term.astype(np.int64), return_counts=True)
+    return np.searchsorted(key, np.arange(len(texts) + 1, dtype=np.int64) * dimensions), key % dimensions, count
 
 
 def term_matrix(docs: DataFrame, *, doc_id: str, text: str, settings: Settings) -> DataFrame:
@@ -92,8 +99,10 @@ def term_matrix(docs: DataFrame, *, doc_id: str, text: str, settings: Settings)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [hashed(t, size) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], ["doc_id", "idx", "cnt"])
+            ends, term, count = hashed(batch.column(1).to_pylist(), size)
+            offsets = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(values)) for values in (term.astype(np.int32), count.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "idx", "cnt"])
 
     found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(vectors, f"doc_id {kind}, idx array<int>, cnt array<float>")
     return materialize(found, "terms")
@@ -222,8 +231,8 @@ def factor(spark: SparkSession, matrix: DataFrame, votes: dict, areas: DataFrame
     n_docs = max(1, matrix.count())
     under, docs_under, total, df = sums[:k], sums[k : 2 * k], sums[2 * k], sums[2 * k + 1]
     for i, name in enumerate(names):  # the description counts as a few documents of its subject
-        idx, cnt = hashed(f"{name.replace('_', ' ')} {areas.get(name) or ''}", size)
-        under[i, idx] += 3 * np.asarray(cnt)
+        _, idx, cnt = hashed([f"{name.replace('_', ' ')} {areas.get(name) or ''}"], size)
+        under[i, idx] += 3 * cnt
         docs_under[i, idx] += 3
     usable = (df >= settings.least_df) & (df <= max(settings.most_df * n_docs, settings.least_df))
     rate = total / max(1.0, total.sum())
