@@ -48,8 +48,8 @@ def key_counts(df: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFra
 def heavy_keys(df: DataFrame, key: str, share: float = 0.02, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``(key_value, n_rows)`` of the non-null keys with at least ``share`` of all delivered rows; none for an empty table."""
     per_key = key_counts(df, key, chunk_rows)
-    total = df.agg(F.count("*").alias("total"))  # one row
-    return per_key.where(F.col("k").isNotNull()).join(F.broadcast(total), F.col("n_rows") >= F.col("total") * F.lit(share)).select(F.col("k").alias("key_value"), "n_rows")
+    total = df.agg(F.count("*")).scalar()
+    return per_key.where(F.col("k").isNotNull() & (F.col("n_rows") >= total * F.lit(share))).select(F.col("k").alias("key_value"), "n_rows")
 
 
 def runs_per_key(df: DataFrame, key: str, value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -32,9 +32,9 @@ _LAST = f"(select file_id, revision_id from {_STAND} where generation = (select
 def _active(spark: SparkSession, folder: str) -> DataFrame:
     """``(file_id, revision_id)`` of the newest snapshot."""
     a = table(spark, folder, "active_file_revisions")
-    newest = a.agg(F.max("generation").alias("period"))
+    newest = a.agg(F.max("generation")).scalar()
     rows = snapshots.standing_rows(a, period="generation", key="file_id", ref="revision_id", delivered="delivered_at")
-    return rows.join(F.broadcast(newest), "period", "left_semi").where("ref is not null").select(F.col("key").alias("file_id"), F.col("ref").alias("revision_id"))
+    return rows.where((F.col("period") == newest) & F.col("ref").isNotNull()).select(F.col("key").alias("file_id"), F.col("ref").alias("revision_id"))
 
 
 def s1_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,8 +61,7 @@ def s7_language(spark: SparkSession, folder: str) -> DataFrame:
 def s8_to_parse(spark: SparkSession, folder: str) -> DataFrame:
     """Entries of the last delivery that differ from what was stored before in path, size, time or extension."""
     e = table(spark, folder, "file_entries")
-    last = F.broadcast(e.agg(F.max("delivery_no").alias("last")))
-    e = e.join(last)
+    e = e.withColumn("last", e.agg(F.max("delivery_no")).scalar())
     keys = ["path", "size", "mtime_ns", "extension"]
     return V.to_parse(e.where("delivery_no = last").select("id", *keys).distinct(), e.where("delivery_no < last"), keys, "mtime_ns").select("id", "path").distinct()
 
@@ -142,8 +141,8 @@ def u3_missing(spark: SparkSession, folder: str) -> DataFrame:
 
 def a1_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Declarations, external ones, and revisions."""
-    a = live_anchors(spark, folder).agg(F.count("*").alias("declarations"), F.count(F.when(F.col("external"), 1)).alias("external"))
-    return a.join(F.broadcast(table(spark, folder, "file_revisions").agg(F.countDistinct("id").alias("revisions"))))  # one row each
+    revisions = table(spark, folder, "file_revisions").agg(F.countDistinct("id")).scalar()
+    return live_anchors(spark, folder).agg(F.count("*").alias("declarations"), F.count(F.when(F.col("external"), 1)).alias("external")).withColumn("revisions", revisions)
 
 
 def a2_coverage(spark: SparkSession, folder: str) -> DataFrame:
