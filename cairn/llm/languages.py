@@ -58,6 +58,11 @@ _GO_TOKENS = re.compile(
     re.S | re.M | re.X,
 )
 _DIRECTIVE = re.compile(r"[ \t]*#[ \t]*([A-Za-z_]\w*|\d+|$)?")
+#: The start of an include guard: ``#ifndef X`` or ``#if !defined(X)``, then, after nothing but space and comments, ``#define X``.
+_GUARD = re.compile(
+    r"""[ \t]*\#[ \t]*(?:ifndef[ \t]+|if[ \t]*![ \t]*defined(?:[ \t]*\([ \t]*|[ \t]+))(?P<name>[^\W\d]\w*)[ \t]*\)?(?:\s|//[^\n]*|/\*.*?\*/)*\n(?:\s|//[^\n]*|/\*.*?\*/)*\#[ \t]*define[ \t]+(?P=name)\b""",
+    re.S,
+)
 _CLASS_OF_WORD = {**{w: w for w in CONTROL}, **{w: "tag" for w in TAGS}, **{w: "stmtword" for w in NOT_IN_LISTS}, **{w: "prefix" for w in PREFIX_WORDS}}
 _C_PUNCT = {**{p: p for p in ("{", "}", "(", ")", "[", "]", ";", "=", ",", ":", "::", ":=")}, "#": "bad"}
 _GO_WORDS = {w: w for w in ("package", *GO_TOP)}
@@ -216,9 +221,26 @@ def go_family() -> tuple[Grammar, Node]:
     return g, g.alt(file, g.empty)
 
 
+def without_guard(text: str, tokens: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The tokens of C or C++ without the two directives of an include guard: a first conditional ``#ifndef X`` with ``#define X`` that has
+    no other branch and whose end is the text's last token. Its body is what an inclusion means, so leaving it out is no setting."""
+    if len(tokens) < 2 or tokens[0][0] != "#if" or tokens[-1][0] != "#endif" or not _GUARD.match(text, tokens[0][1]):
+        return tokens
+    depth = 0
+    for i, (c, _) in enumerate(tokens):
+        depth += (c == "#if") - (c == "#endif")
+        if depth == 0 and i < len(tokens) - 1 or depth == 1 and c in ("#elif", "#else"):
+            return tokens
+    return tokens[1:-1] if depth == 0 else tokens
+
+
 def judge(text: str, language: str) -> tuple[str, int]:
-    """Verdict (valid, broken, truncated, conflict) and the offset of the failing token, -1 if there is none."""
-    tokens = list(go_classes(text) if language == "go" else c_classes(text))
+    """Verdict (valid, broken, truncated, conflict) and the offset of the failing token, -1 if there is none.
+
+    The body of an include guard has to derive. Any other conditional counts as left out where that makes the text valid, so a conflict marker
+    in one of its branches is no conflict as long as another setting derives (another branch or, without #else, none); markers around it are one.
+    """
+    tokens = list(go_classes(text)) if language == "go" else without_guard(text, list(c_classes(text)))
     grammar, start = go_family() if language == "go" else c_family(language == "cpp")
     verdict, i = run(grammar, start, [c for c, _ in tokens])
     if verdict == "valid":

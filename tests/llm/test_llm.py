@@ -142,6 +142,30 @@ def test_encoding_against_a_library(spark):
     assert bpe.encode_column(df.limit(0), doc_id="doc_id", text="text").count() == 0
 
 
+CONFLICT = "<<<<<<< HEAD\nint a(int);\n=======\nint b(int);\n>>>>>>> x\n"
+
+
+@pytest.mark.parametrize(
+    ("text", "verdict"),
+    [
+        ("/* A. */\n#ifndef A_H\n#define A_H\nint a(int);\n#endif /* A_H */\n", "valid"),
+        ("#ifndef A_H\n#define A_H\n" + CONFLICT + "#endif\n", "conflict"),
+        ("#if !defined(A_H)\n/* A. */\n#define A_H\n" + CONFLICT + "#endif\n", "conflict"),
+        ("#ifndef A_H\r\n#define A_H\r\nint a(int));\r\n#endif\r\n", "broken"),
+        ("#ifndef A_H\n#define A_H\nint a(\n#endif\n", "truncated"),
+        ("#ifndef A_H\n#define A_H\n#ifdef B\n" + CONFLICT + "#endif\n#endif\n", "valid"),
+        ("#ifdef B\n" + CONFLICT + "#else\nint a(int);\n#endif\n", "valid"),
+        ("#ifdef B\n" + CONFLICT + "#else\n)\n#endif\nint c;\n", "broken"),
+        ("#ifndef B\n#define C\n" + CONFLICT + "#endif\n", "valid"),
+        ("#ifndef B\n#define B\n)\n#else\nint b;\n#endif\n", "valid"),
+        ("#ifndef B\n#define B 1\n)\n#endif\nint b;\n", "valid"),
+        ("<<<<<<< HEAD\n#ifdef B\n=======\n#ifdef C\n>>>>>>> x\nint b;\n#endif\n", "conflict"),
+    ],
+)
+def test_guards_are_no_forks(text, verdict):
+    assert languages.judge_file("a.h", text)[0] == verdict
+
+
 def brute_leaks(docs, items, n):
     grams = lambda t: {tuple(w[i : i + n]) for w in [leaks.words(t)] for i in range(len(w) - n + 1)}
     return {(d, i) for d, x, *_ in docs for i, y, *_ in items if grams(x) & grams(y)}
