@@ -12,22 +12,20 @@ from cairn.common import cut
 MAX_DEPTH, MAX_NODES = 32, 4096
 
 
-def _closure(origins: DataFrame, edges: DataFrame, depth: int, max_nodes: int) -> DataFrame:
-    """``(origin, node, weak, depth)`` of everything reached within ``depth`` steps over strong edges alone (not weak) and over paths with a weak edge (weak), each at its first arrival.
+def _closure(origins: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """``(origin, node, weak, depth)`` of everything reached within ``depth`` steps over strong edges alone (not weak) or over paths with a weak edge (weak), each at its first arrival.
 
-    edges: ``src, dst, weak``. Each round joins the frontier with the edges and drops what is known; the rounds are written out, so a lost
-    executor costs one round. It ends when nothing new comes; an origin with more than ``max_nodes`` nodes goes no further.
+    edges: ``src, dst, weak``. Each round joins the frontier with the edges and drops what is known as well or better; a weak arrival that is
+    no earlier than a strong one leads nowhere new. The rounds are written out, so a lost executor costs one round. It ends when nothing new comes.
     """
     known = cut(origins.select("origin", F.col("origin").alias("node"), F.lit(False).alias("weak"), F.lit(0).alias("depth")).distinct())
     layers, frontier = [known], known
     e = edges.select("src", F.col("dst"), F.col("weak").alias("step_weak"))
     for d in range(1, depth + 1):
-        if d > 1:
-            full = reduce(DataFrame.unionByName, layers).groupBy("origin").agg(F.countDistinct("node").alias("n")).where(F.col("n") > max_nodes).select("origin")
-            frontier = frontier.join(full, "origin", "left_anti")
-        step = frontier.join(e, frontier["node"] == e["src"]).select("origin", F.col("dst").alias("node"), (F.col("weak") | F.col("step_weak")).alias("weak")).distinct()
-        seen = reduce(DataFrame.unionByName, layers).select("origin", "node", "weak")
-        frontier = cut(step.join(seen, ["origin", "node", "weak"], "left_anti").withColumn("depth", F.lit(d)))
+        step = frontier.join(e, frontier["node"] == e["src"]).groupBy("origin", F.col("dst").alias("node")).agg(F.min(F.col("weak") | F.col("step_weak")).alias("weak"))
+        seen = reduce(DataFrame.unionByName, layers).groupBy("origin", "node").agg(F.min("weak").alias("known_weak"))
+        fresh = step.join(seen, ["origin", "node"], "left").where(F.col("known_weak").isNull() | (F.col("known_weak") & ~F.col("weak")))
+        frontier = cut(fresh.select("origin", "node", "weak", F.lit(d).alias("depth")))
         if frontier.isEmpty():
             break
         layers.append(frontier)
@@ -40,17 +38,14 @@ def reach(origins: DataFrame, edges: DataFrame, open_nodes: DataFrame, *, weak:
     origins: ``origin``; edges: ``src, dst, resolution``; open_nodes: ``src, reason``. What strong edges reach is proven, what only a path
     with a weak edge reaches is heuristic; the origin itself is proven. A scope is open if a reached file leaves includes open, if something
     lies at the greatest depth, or if more than ``max_nodes`` are reached; the reasons' order is unresolved, ambiguous, depth_limit, node_limit.
-    Of more than ``max_nodes`` the nearest are kept, ties by path. Null origins and edge ends reach nothing.
+    Nothing is cut off at ``max_nodes``. Null origins and edge ends reach nothing.
     """
     e = cut(edges.where("src is not null and dst is not null").select("src", "dst", (F.col("resolution") == weak).alias("weak")).distinct())
     o = origins.where("origin is not null").select("origin").distinct()
-    every = cut(_closure(o, e, depth, max_nodes).groupBy("origin", F.col("node").alias("path")).agg(F.min("weak").alias("is_heuristic"), F.min("depth").alias("depth")))
-    # A layer that passes the limit is cut; sizes beyond it are only counted.
-    files = every.withColumn("place", F.row_number().over(Window.partitionBy("origin").orderBy("depth", "path"))).where(F.col("place") <= max_nodes).drop("place")
-    sizes = every.groupBy("origin").agg(F.count("*").alias("n_files"))
+    files = _closure(o, e, depth).groupBy("origin", F.col("node").alias("path")).agg(F.min("weak").alias("is_heuristic"), F.min("depth").alias("depth"))
     reasons = files.join(open_nodes.select(F.col("src").alias("path"), "reason"), "path", "left")
     rank = F.when(F.col("reason") == "unresolved_include", 0).when(F.col("reason") == "ambiguous_include", 1).when(F.col("depth") >= depth, 2)
-    scope = reasons.groupBy("origin").agg(F.min(rank).alias("rank")).join(sizes, "origin")
+    scope = reasons.groupBy("origin").agg(F.min(rank).alias("rank"), F.count("*").alias("n_files"))
     rank = F.coalesce("rank", F.when(F.col("n_files") > max_nodes, 3))
     reason = F.when(rank == 0, "unresolved_include").when(rank == 1, "ambiguous_include").when(rank == 2, "depth_limit").when(rank == 3, "node_limit")
     return files, scope.select("origin", rank.isNotNull().alias("open"), reason.alias("reason"))

@@ -155,6 +155,21 @@ def test_reach_limits(spark):
     assert graph.reach(o, chain, none, max_nodes=6)[1].collect()[0][1:] == (True, "node_limit")
 
 
+def test_reach_beyond_the_node_limit_is_whole(spark):
+    """More files than the limit, one of them promoted late, and the reason for an open scope far out."""
+    strong = [("a", "b0"), *[(f"b{i}", f"b{i + 1}") for i in range(5)], *[("a", f"c{i}") for i in range(6)], ("b5", "late"), ("late", "end")]
+    e = spark.createDataFrame([(*x, "workspace_exact") for x in strong] + [("a", "late", "suffix_match"), ("c0", "guess", "suffix_match")], "src string, dst string, resolution string")
+    none = spark.createDataFrame([], "src string, reason string")
+    origin = spark.createDataFrame([("a",)], "origin string")
+    files, scope = graph.reach(origin, e, none, max_nodes=4)
+    got = {r["path"]: (r["is_heuristic"], r["depth"]) for r in files.collect()}
+    assert set(got) == {"a", "late", "end", "guess", *[f"b{i}" for i in range(6)], *[f"c{i}" for i in range(6)]}
+    assert got["late"] == (False, 1) and got["end"] == (False, 2) and got["guess"] == (True, 2) and got["b5"] == (False, 6)
+    assert [tuple(r) for r in scope.collect()] == [("a", True, "node_limit")]
+    opened = spark.createDataFrame([("end", "unresolved_include")], "src string, reason string")
+    assert [tuple(r) for r in graph.reach(origin, e, opened, max_nodes=2)[1].collect()] == [("a", True, "unresolved_include")]
+
+
 def test_package_reach_has_no_promotion(spark):
     e = spark.createDataFrame([("p", "q", "heuristic"), ("p", "r", "exact"), ("r", "q", "exact")], "src string, dst string, resolution string")
     m = spark.createDataFrame([(x, f"{x}/1.go") for x in "pqr"], "package string, path string")
