@@ -222,3 +222,9 @@ def test_subjects_of_held_out_documents(spark):
     assert subjects.subject_masses(df.limit(0), lf, af, settings=settings).count() == 0
     assert subjects.subject_masses(df, lf, af.limit(0), settings=settings).count() == 0
     assert subjects.subject_masses(df.limit(5), lf.limit(0), af, settings=settings).columns == ["doc_id", "subject", "mass", "share"]
+
+
+def test_a_mass_of_seven_terms_is_enough(spark):
+    rows = [(1, "law", 7.0, 0.5), (2, "law", 7.9, 0.1), (3, "law", 6.9, 0.5), (4, "law", 9.0, 0.09)]
+    masses = spark.createDataFrame(rows, "doc_id bigint, subject string, mass double, share double")
+    assert sorted(r["doc_id"] for r in subjects.assigned(masses).collect()) == [1, 2]
