@@ -47,7 +47,7 @@ class Settings:
     inner: int = 4  # updates of the weights in each round
     labelled: int = 20_000  # documents with labels that are used as seeds, at most
     least_df: int = 3
-    most_df: float = 0.25
+    most_df: float = 0.25  # of all documents; does not hold for a term of one subject
     purity: float = 0.3  # share of a term's labelled documents that has to be its subject's for the term to be anchored to it
     strong: float = 0.5  # share from which on free components may not use the term
     doubt: float = 2.0  # documents at the base rates that are added before those shares are taken
@@ -241,7 +241,9 @@ def factor(spark: SparkSession, matrix: DataFrame, votes: dict, areas: DataFrame
     base = (base / base.sum())[:, None]
     pure = (docs_under + settings.doubt * base) / (docs_under.sum(axis=0) + settings.doubt)
     seen = docs_under > 0
-    anchored = np.where(seen, pure >= settings.purity, docs_under.sum(axis=0) == 0) & usable
+    # However many documents use it, a term belongs to a subject of which its labelled documents are that much more often than all are.
+    own_term = (df >= settings.least_df) & seen & (pure >= base + settings.strong * (1 - base))
+    anchored = np.where(seen, pure >= settings.purity, docs_under.sum(axis=0) == 0) & usable | own_term
     taken = (seen & (pure >= settings.strong)).any(axis=0)
     rng = np.random.default_rng(7)
     h = np.zeros((k + settings.free, size))

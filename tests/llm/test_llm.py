@@ -228,3 +228,21 @@ def test_a_mass_of_seven_terms_is_enough(spark):
     rows = [(1, "law", 7.0, 0.5), (2, "law", 7.9, 0.1), (3, "law", 6.9, 0.5), (4, "law", 9.0, 0.09)]
     masses = spark.createDataFrame(rows, "doc_id bigint, subject string, mass double, share double")
     assert sorted(r["doc_id"] for r in subjects.assigned(masses).collect()) == [1, 2]
+
+
+def test_subject_on_a_third_of_the_documents(spark):
+    own = {"law": "court judge plea statute verdict treaty attorney bail".split(), "sport": "league goal coach umpire sprint pitch relay medal".split(), "music": "chord tempo choir score bass organ track scale".split(), "food": "bread stew oven spice broth butter dough onion".split()}
+    common = "the module keeps one row and drops whatever is late in the table of the index".split()
+    docs, truth, labels = [], {}, []
+    for i in range(360):
+        about = "law" if i % 3 == 0 else ("sport", "music", "food", None)[i % 4]
+        docs.append((i, " ".join([*own.get(about, []), *own.get(about, []), *common * 3])))
+        truth[i] = about
+        if about and i % 5 < 2:
+            labels.append((i, about))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    lf = spark.createDataFrame(labels, "doc_id bigint, subject string")
+    af = spark.createDataFrame([(s, None) for s in own], "subject string, description string")
+    settings = subjects.Settings(dimensions=1 << 14)
+    found = {(r["doc_id"], r["subject"]) for r in subjects.assigned(subjects.subject_masses(df, lf, af, settings=settings), settings).collect()}
+    assert found == {(i, s) for i, s in truth.items() if s}
