@@ -163,5 +163,5 @@ def _arrow(df: DataFrame, column: str) -> pa.DataType:
 
 
 def contaminated(passages: DataFrame, coverage: float = 0.5) -> DataFrame:
-    """Documents that hold at least ``coverage`` of an item, its passages in whatever order."""
+    """Documents that hold at least ``coverage`` of an item, its passages in whatever order; only passages of the minimum length of the search count."""
     return passages.where(F.col("covered") >= F.lit(coverage) * F.col("item_words"))

@@ -63,7 +63,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that hold at least half of an item, in whatever order, with the tiles' figures."""
+    """Documents that hold at least half of an item in runs of 13 or more words, in whatever order, with the tiles' figures."""
     return leaks.contaminated(_passages(spark, folder)).select("doc_id", "item_id", "n_tiles", "longest", "covered", "item_words")
 
 
