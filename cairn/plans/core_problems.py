@@ -27,7 +27,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Files that each published run has to process: the runs are made one after another, each from the state the last one left."""
     builds = table(spark, folder, "index_builds").where((F.col("state") == "published") & F.col("last_delivery").isNotNull())
     runs = builds.groupBy("id").agg(F.max("last_delivery").alias("upto")).orderBy("id").collect()  # one row per run
-    feed = incremental.ChangeFeed(spark, fresh_folder(spark, "feed"), key="id", newest="indexed_at", delivery="delivery_no", watched=["hash", "size"], buckets=16)
+    feed = incremental.ChangeFeed(spark, fresh_folder(spark, "feed"), key="id", newest="indexed_at", delivery="delivery_no", watched=["hash", "size"])
     entries = table(spark, folder, "file_entries")
     for run in runs:
         feed.run(run["id"], entries, run["upto"])
