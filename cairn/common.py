@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,13 +16,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that every executor can reach: ``spark.checkpoint.dir``, or, only where that is unset, a local one."""
-    setting = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """Folder that every executor can reach: ``spark.checkpoint.dir``. Where that is unset, a local session makes one of its own, removed at its end; on a cluster it is an error."""
+    context = spark.sparkContext
+    setting = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not setting:
-        current = spark.sparkContext.getCheckpointDir()
-        setting = current or tempfile.mkdtemp(prefix="cairn-shared-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(setting)
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        setting = tempfile.mkdtemp(prefix="cairn-shared-")
+        atexit.register(shutil.rmtree, setting, ignore_errors=True)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(setting)
     return setting.rstrip("/")
 
 
