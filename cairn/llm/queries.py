@@ -94,6 +94,16 @@ with d as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') w from docum
 select distinct doc_id, item_id from dg join ig using (g)
 """
 
+#: The longest runs of words that a document and an item share, as islands of windows on one diagonal.
+_P8_RUNS = r"""
+(with d as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') w from documents where text is not null),
+ i as (select item_id, regexp_extract_all(text, '[\p{L}\p{N}]+') w from eval_items where text is not null),
+ dg as (select doc_id, k as a, lower(array_to_string(list_slice(w, k, k + 12), ' ')) g from d, unnest(generate_series(1, len(w) - 12)) as t(k)),
+ ig as (select item_id, k as b, len(w) as item_words, lower(array_to_string(list_slice(w, k, k + 12), ' ')) g from i, unnest(generate_series(1, len(w) - 12)) as t(k)),
+ m as (select *, a - row_number() over (partition by doc_id, item_id, a - b order by a) as island from dg join ig using (g))
+select doc_id, item_id, item_words, a - b as diagonal, island, count(*) + 12 as length from m group by all)
+"""
+
 QUERIES = {
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
@@ -107,4 +117,9 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_composition": p9_composition,
 }
-SQL: dict[str, str] = {"p7_roundtrip": "select count(*) as n_docs, count(*) as n_same from documents", "p8_found": _P8_PAIRS}
+SQL: dict[str, str] = {
+    "p7_roundtrip": "select count(*) as n_docs, count(*) as n_same from documents", "p8_found": _P8_PAIRS,
+    # Runs are tiles as long as no passage stands twice in a document or an item.
+    "p8_coverage": f"select * from (select doc_id, item_id, count(*)::int as n_tiles, max(length)::int as longest, sum(length)::int as covered, max(item_words)::int as item_words from {_P8_RUNS} group by 1, 2) where covered >= 0.5 * item_words",
+    "p8_items": f"select item_id, count(distinct doc_id) as n_docs, max(length)::int as longest from {_P8_RUNS} group by 1",
+}

@@ -171,28 +171,60 @@ def brute_leaks(docs, items, n):
     return {(d, i) for d, x, *_ in docs for i, y, *_ in items if grams(x) & grams(y)}
 
 
-@pytest.mark.parametrize("block_words", [2_000_000, 5])
-def test_leaks(spark, block_words):
+@pytest.mark.parametrize("most_bits", [1 << 29, 1 << 15])
+def test_leaks(spark, monkeypatch, most_bits):
+    monkeypatch.setattr(leaks, "MOST_BITS", most_bits)
     rnd = random.Random(6)
     text = lambda k: " ".join(rnd.choice(["a", "B", "c_d", "é", "x"]) for _ in range(k))
     items = [(i, text(12), "s") for i in range(12)] + [(50, None, "s"), (51, "", "s"), (52, "a b", "s")]
     items.append((53, items[0][1].upper(), "s"))
     docs = [(i, text(40), "z") for i in range(40)] + [(90, None, "z"), (91, "", "z"), (92, items[3][1].replace(" ", "\n// "), "z"), (92, items[3][1].replace(" ", "\n// "), "z")]
     df, ef = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string"), spark.createDataFrame(items, "item_id bigint, text string, doc_id string")
-    got = leaks.leaked_passages(df, ef, doc_id="doc_id", item_id="item_id", least=5, block_words=block_words).collect()
+    got = leaks.leaked_passages(df, ef, doc_id="doc_id", item_id="item_id", least=5).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == brute_leaks(docs, items, 5)
     assert all(r["covered"] <= r["item_words"] and r["longest"] >= 5 for r in got)
     assert leaks.leaked_passages(df, ef.limit(0), doc_id="doc_id", item_id="item_id", least=5).count() == 0
 
 
-def test_tiles_of_moved_passages():
+def brute_tiles(doc, item, least):
+    """Greedy string tiling by trying every pair of places."""
+    in_doc, in_item, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                k = 0
+                while i + k < len(doc) and j + k < len(item) and doc[i + k] == item[j + k] and i + k not in in_doc and j + k not in in_item:
+                    k += 1
+                best = max(best, (k, -i, -j))
+        if best[0] < least:
+            return sorted(out)
+        k, i, j = best[0], -best[1], -best[2]
+        out.append((i, j, k))
+        in_doc.update(range(i, i + k))
+        in_item.update(range(j, j + k))
+
+
+def test_tiles():
     a, b = list(range(1, 21)), list(range(21, 41))
-    block = leaks.ItemBlock(5)
-    block.add(1, " ".join(f"w{i}" for i in a + b))
-    (item, tiles), = block.leaks(" ".join(f"w{i}" for i in b + [99] + a))
-    assert item == 1 and sorted(t[2] for t in tiles) == [20, 20]
-    same = leaks.tile([1] * 9, [1] * 9, [(i, j) for i in range(5) for j in range(5)], 5)
-    assert same == [(0, 0, 9)]
+    assert sorted(t[2] for t in leaks.tile(b + [99] + a, a + b, 5)) == [20, 20]
+    assert leaks.tile([1] * 9, [1] * 9, 5) == [(0, 0, 9)]
+    assert leaks.tile([], [1], 1) == [] == leaks.tile([1, 2], [3], 1)
+    rnd = random.Random(1)
+    for n in range(60):
+        x, y = ([rnd.randrange(3) for _ in range(rnd.randrange(30))] for _ in range(2))
+        y = y if n % 3 else y + x[6:] + x[:8]
+        assert leaks.tile(x, y, 4) == brute_tiles(x, y, 4)
+
+
+def test_tiles_of_words_that_repeat_without_end(spark):
+    """20,000 equal words on both sides, and words in turn."""
+    assert leaks.tile([1] * 21_000, [1] * 20_000, 13) == [(0, 0, 20_000)]
+    assert sum(t[2] for t in leaks.tile([1, 2] * 10_000, [1, 1, 2] * 7_000, 2)) == 14_000
+    rows = [(1, "row " * 20_000), (2, "row " * 13), (3, "row " * 12)]
+    docs, items = spark.createDataFrame(rows, "d bigint, text string"), spark.createDataFrame(rows, "i bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["covered"] for r in leaks.leaked_passages(docs, items, doc_id="d", item_id="i").collect()}
+    assert got == {(1, 1): 20_000, (1, 2): 13, (2, 1): 13, (2, 2): 13}
 
 
 def test_subjects_of_held_out_documents(spark):
