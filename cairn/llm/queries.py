@@ -10,7 +10,7 @@ from cairn.llm import bpe, docpairs, leaks, parsecheck, subjects
 
 
 def _functions(spark: SparkSession, folder: str) -> DataFrame:
-    return docpairs.documented_functions(table(spark, folder, "source_texts"), file_id="revision_id", text="text")
+    return docpairs.documented_functions(table(spark, folder, "source_texts"), file_id="revision_id", path="path", text="text")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,8 +20,16 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """The pairs themselves: description and code of each documented function."""
-    return _functions(spark, folder).select(F.col("file_id").alias("revision_id"), "name", "name_line", "end_line", "description", "code")
+    """The pairs themselves: description and code of each documented function whose body has an end."""
+    return _functions(spark, folder).where("code is not null").select(F.col("file_id").alias("revision_id"), "name", "name_line", "end_line", "description", "code")
+
+
+def p5_code(spark: SparkSession, folder: str) -> DataFrame:
+    """Head and body of all functions, documented or not, in the texts that the index has definitions of and that neither break off nor hold remains of a merge."""
+    indexed = table(spark, folder, "callable_anchors").where("role = 'definition' and body_range is not null").select("revision_id").distinct()
+    texts = table(spark, folder, "source_texts").where(~F.col("text").rlike(r"(?m)^(<{7}|={7}|>{7})") & F.col("text").rlike(r"(\}|#endif[^\n]*)\s*\z")).join(indexed, "revision_id", "left_semi")
+    found = docpairs.documented_functions(texts, file_id="revision_id", path="path", text="text", least_words=0).where("code is not null")
+    return found.select(F.col("file_id").alias("revision_id"), "name", "name_line", "end_line", "code").distinct()
 
 
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,6 +121,7 @@ select doc_id, item_id, len(tiles)::int as n_tiles, (-tiles[1].k)::int as longes
 QUERIES = {
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
+    "p5_code": p5_code,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
     "p7_ids": p7_ids,
@@ -124,6 +133,7 @@ QUERIES = {
     "p9_composition": p9_composition,
 }
 SQL: dict[str, str] = {
+    "p5_code": "select distinct a.revision_id, a.name, a.name_range.start_line as name_line, a.body_range.end_line as end_line, array_to_string(string_split(t.text, chr(10))[a.declaration_range.start_line + 1 : a.body_range.end_line + 1], chr(10)) as code from callable_anchors a join source_texts t using (revision_id) where a.role = 'definition' and a.body_range is not null and t.text is not null and not regexp_matches(t.text, '(?m)^(<{7}|={7}|>{7})') and regexp_matches(t.text, '(\\}|#endif[^\\n]*)\\s*\\z')",
     "p7_roundtrip": "select count(*) as n_docs, count(*) as n_same from documents", "p8_found": _P8_PAIRS,
     "p8_coverage": f"select * from {_P8_TILES} where covered >= 0.5 * item_words",
     "p8_items": f"select item_id, count(distinct doc_id) as n_docs, max(longest) as longest from {_P8_TILES} group by 1",

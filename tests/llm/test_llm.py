@@ -166,6 +166,28 @@ def test_guards_are_no_forks(text, verdict):
     assert languages.judge_file("a.h", text)[0] == verdict
 
 
+def test_code_of_pairs(spark):
+    """From the first line of the head to the end of the body; branches that open the same brace; a body without an end has no code."""
+    doc = "/* Walks the whole ring and counts its slots. */\n"
+    text = "\n".join([doc + "static int", "first(int a)", "{", "  return a;", "}", "", "#if A", doc + "int second(int a) {", "#else", doc + "int second(long a) {", "#endif", "  if (a) { b(); }", "}", "", doc + "int third(void) { return 3; }", doc + "int lost(void) {", "  x();"])
+    for t in (text, text.replace("\n", "\r\n")):
+        got = docpairs.extract(t)
+        assert [(d.name, d.head_line, d.end_line) for d in got] == [("first", 1, 5), ("second", 9, 15), ("second", 12, 15), ("third", 18, 18), ("lost", 20, None)]
+    rows = [(1, "a.c", text), (2, "a.c", None), (3, "a.c", "")]
+    out = docpairs.documented_functions(spark.createDataFrame(rows, "id bigint, path string, text string"), file_id="id", path="path", text="text").collect()
+    assert [r["code"].split("\n")[0] if r["code"] else None for r in out] == ["static int", "int second(int a) {", "int second(long a) {", "int third(void) { return 3; }", None]
+
+
+def test_functions_by_indentation_and_end_words():
+    python = "\n".join(["# Adds all of the numbers that are there.", "@cache", "def total(a,", "          b):", "    x = 1", "", "    def inner(c):", '        """Gives the very same number back again."""', "        return c", "    return x", "", "class A:", "    async def run(self):", '        """Runs.', "", "        And then it goes on and on.", '        """', "        await x", "y = 2"])
+    assert [(d.name, d.head_line, d.end_line, d.n_words >= 5) for d in docpairs.functions_of("a.py", python)] == [("total", 2, 9, True), ("inner", 6, 8, True), ("run", 12, 17, True)]
+    ruby = "\n".join(["# Adds all of the numbers that are there.", "def total(a)", "  a.each do |x|", "    puts x if x # end", "    if x", '      puts "end"', "    end", "  end", "end", "def none; end", "def lost", "  x"])
+    assert [(d.name, d.end_line, d.n_words >= 5) for d in docpairs.functions_of("a.rb", ruby)] == [("total", 8, True), ("none", 9, False), ("lost", None, False)]
+    lua = "\n".join(["-- Adds all of the numbers that are there.", "local function total(a)", "  for i = 1, a do", "    if i then", "      f(function() return 1 end)", "    end", "  end", "end"])
+    assert [(d.name, d.end_line, d.n_words >= 5) for d in docpairs.functions_of("a.lua", lua)] == [("total", 7, True)]
+    assert docpairs.functions_of("a.py", None) == docpairs.functions_of("a.rb", "") == []
+
+
 def brute_leaks(docs, items, n):
     grams = lambda t: {tuple(w[i : i + n]) for w in [leaks.words(t)] for i in range(len(w) - n + 1)}
     return {(d, i) for d, x, *_ in docs for i, y, *_ in items if grams(x) & grams(y)}
