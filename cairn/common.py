@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +36,8 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage, survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts the lineage by a table in the shared folder, which survives the loss of executors; unlike a checkpoint it computes ``df`` once."""
+    return materialize(df, "cut")
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -48,3 +48,33 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
         writer = writer.partitionBy(*partition_by)
     writer.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder) if not partition_by else df.sparkSession.read.parquet(folder)
+
+
+_kept: dict[tuple, tuple[str, object]] = {}
+
+
+def _stamp(spark: SparkSession, folder: str, tables: Sequence[str]) -> tuple:
+    """Names, sizes and times of change of the tables' files."""
+    jvm = spark.sparkContext._jvm
+    out = []
+    for name in tables:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = fs.listStatus(path)  # of a file: itself
+        out.append(tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found)))
+    return tuple(out)
+
+
+def kept(spark: SparkSession, folder: str, tables: Sequence[str], label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that several queries of a session use, such as the include graph: written once for each state of the tables it is made of, and again once its folder is gone."""
+    key = (spark.sparkContext.applicationId, folder, label, _stamp(spark, folder, tables))
+    if key in _kept:
+        at, schema = _kept[key]
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return spark.read.schema(schema).parquet(at)
+    df = build()
+    at = fresh_folder(spark, label)
+    df.write.parquet(at)
+    _kept[key] = at, df.schema
+    return spark.read.schema(df.schema).parquet(at)

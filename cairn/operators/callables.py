@@ -12,6 +12,21 @@ EVIDENCE = ("explicit_qualifier", "same_file", "internal_linkage", "compatible_a
 RESOLVED_FORMS = ("direct_name", "qualified_name", "parenthesized_name")
 
 
+def _links(anchors: DataFrame) -> DataFrame:
+    """``(source_id, source_path, header_id, header_path)``: definitions in sources and declarations in headers of the same free function of exact fidelity and external linkage."""
+    free = F.col("owner_kind").isNull() | (F.col("owner_kind") == "namespace")
+    fit = anchors.where((F.col("kind") == "function") & free & (F.col("linkage_kind") == "external") & (F.col("signature_fidelity") == "ast_exact") & (F.coalesce("canonical_signature", F.lit("")) != ""))
+    key = ["name", "qualified_name", "canonical_signature"]
+    src = fit.where((F.col("role") == "definition") & R.is_source_path(F.col("path"))).select(*key, F.col("id").alias("source_id"), F.col("path").alias("source_path"))
+    hdr = fit.where((F.col("role") == "declaration") & R.is_header_path(F.col("path"))).select(*key, F.col("id").alias("header_id"), F.col("path").alias("header_path"))
+    return src.join(hdr, key).drop(*key)
+
+
+def counterpart_sources(anchors: DataFrame) -> DataFrame:
+    """``(source_path)`` of the sources whose reach decides about a pairing."""
+    return _links(anchors).select("source_path").distinct()
+
+
 def counterparts(anchors: DataFrame, reach: DataFrame) -> DataFrame:
     """``(id, evidence, degree, counterpart_id)`` of every anchor.
 
@@ -19,12 +34,7 @@ def counterparts(anchors: DataFrame, reach: DataFrame) -> DataFrame:
     of exact fidelity and external linkage, and the header is in the proven reach of the source (``source_path, header_path``). A pair stands if neither has another
     link: strict_one_to_one; otherwise ambiguous with its number of links, or unpaired.
     """
-    free = F.col("owner_kind").isNull() | (F.col("owner_kind") == "namespace")
-    fit = anchors.where((F.col("kind") == "function") & free & (F.col("linkage_kind") == "external") & (F.col("signature_fidelity") == "ast_exact") & (F.coalesce("canonical_signature", F.lit("")) != ""))
-    key = ["name", "qualified_name", "canonical_signature"]
-    src = fit.where((F.col("role") == "definition") & R.is_source_path(F.col("path"))).select(*key, F.col("id").alias("source_id"), F.col("path").alias("source_path"))
-    hdr = fit.where((F.col("role") == "declaration") & R.is_header_path(F.col("path"))).select(*key, F.col("id").alias("header_id"), F.col("path").alias("header_path"))
-    links = src.join(hdr, key).join(reach.select("source_path", "header_path").distinct(), ["source_path", "header_path"], "left_semi").select("source_id", "header_id")
+    links = _links(anchors).join(reach.select("source_path", "header_path").distinct(), ["source_path", "header_path"], "left_semi").select("source_id", "header_id")
     links = links.withColumn("ds", F.count("*").over(Window.partitionBy("source_id"))).withColumn("dh", F.count("*").over(Window.partitionBy("header_id")))
     ends = F.explode(F.array(F.struct(F.col("source_id").alias("id"), F.col("ds").alias("degree"), F.col("header_id").alias("other")), F.struct(F.col("header_id").alias("id"), F.col("dh").alias("degree"), F.col("source_id").alias("other"))))
     per = links.select(ends.alias("x"), ((F.col("ds") == 1) & (F.col("dh") == 1)).alias("pair")).groupBy("x.id").agg(F.max("x.degree").alias("degree"), F.max("pair").alias("pair"), F.max(F.when(F.col("pair"), F.col("x.other"))).alias("counterpart_id"))

@@ -19,6 +19,21 @@ def blank(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
 
 
+def with_tiers(rows: DataFrame, reached: DataFrame, scopes: DataFrame, direct: DataFrame) -> DataFrame:
+    """Rows ``(current, path, external, ...)`` with their ``tier``, ``in_heuristic`` and ``open_reason`` by the reach of the current file.
+
+    reached: ``origin, path, is_heuristic``; scopes: ``origin, open, reason``; direct: ``src, dst``, first-layer external targets. A null current file is no context: global.
+    """
+    files = reached.select(F.col("origin").alias("current"), "path", "is_heuristic")
+    first = direct.select(F.col("src").alias("current"), F.col("dst").alias("path"), F.lit(True).alias("direct"))
+    c = rows.join(files, ["current", "path"], "left").join(first, ["current", "path"], "left")
+    c = c.join(scopes.select(F.col("origin").alias("current"), F.col("open").alias("open_"), F.col("reason").alias("open_reason")), "current", "left")
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    known = F.col("open_").isNotNull()
+    tier = R.scope_tier(yes(F.col("external")), yes(F.col("direct")), F.col("current").isNotNull(), F.col("path") == F.col("current"), known, yes(~F.col("is_heuristic")), yes(F.col("is_heuristic")), yes(F.col("open_")))
+    return c.withColumn("tier", tier).withColumn("in_heuristic", yes(F.col("is_heuristic"))).drop("is_heuristic", "direct", "open_")
+
+
 def candidate_order() -> list[Column]:
     """Order of candidates within a group."""
     return [F.desc("tier_rank"), F.desc(R.lookup(F.col("fidelity"), FIDELITY_RANK, 0)), F.desc(R.lookup(F.col("role"), ROLE_RANK, 0)), F.desc(blank(F.col("guard")).cast("int")), F.desc("origin_rank"), F.col("path"), F.col("start_byte"), F.col("id")]
@@ -54,7 +69,7 @@ def focus(groups: DataFrame, intent: Column) -> DataFrame:
 
 
 def dispositions(focused: DataFrame, complete: Column) -> DataFrame:
-    """Per query: groups, focused groups, alternatives outside them, and the disposition. complete: whether nothing was cut off."""
+    """Per query: groups, focused groups, alternatives outside them, and the disposition. complete: whether the query's scope is closed and nothing was cut off."""
     one = focused.where("position = 1")
     per = one.groupBy("query").agg(
         F.count("*").alias("n_groups"),
@@ -62,8 +77,9 @@ def dispositions(focused: DataFrame, complete: Column) -> DataFrame:
         F.sum(F.col("authoritative").cast("int")).alias("n_authoritative"),
         F.coalesce(F.min(F.when(F.col("focused"), (F.col("authoritative") & ~F.col("low_fidelity")).cast("int"))), F.lit(0)).alias("ok"),
         F.sum(F.when(~F.col("focused"), F.col("group_size")).otherwise(0)).alias("alternative_count"),
+        (F.min(complete.cast("int")) == 1).alias("complete"),
     )
-    return per.select("query", "n_groups", "n_focused", "alternative_count", R.disposition(F.col("n_authoritative"), F.col("n_focused"), F.col("ok") == 1, complete).alias("disposition"))
+    return per.select("query", "n_groups", "n_focused", "alternative_count", R.disposition(F.col("n_authoritative"), F.col("n_focused"), F.col("ok") == 1, F.col("complete")).alias("disposition"))
 
 
 def navigation(focused: DataFrame, declaration: bool) -> DataFrame:

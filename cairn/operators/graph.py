@@ -7,48 +7,62 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.common import cut
+from cairn.common import cut, fresh_folder
 
 MAX_DEPTH, MAX_NODES = 32, 4096
 
 
-def _closure(origins: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """``(origin, node, weak, depth)`` of everything reached within ``depth`` steps over strong edges alone (not weak) or over paths with a weak edge (weak), each at its first arrival.
-
-    edges: ``src, dst, weak``. Each round joins the frontier with the edges and drops what is known as well or better; a weak arrival that is
-    no earlier than a strong one leads nowhere new. The rounds are written out, so a lost executor costs one round. It ends when nothing new comes.
-    """
-    known = cut(origins.select("origin", F.col("origin").alias("node"), F.lit(False).alias("weak"), F.lit(0).alias("depth")).distinct())
-    layers, frontier = [known], known
-    e = edges.select("src", F.col("dst"), F.col("weak").alias("step_weak"))
-    for d in range(1, depth + 1):
-        step = frontier.join(e, frontier["node"] == e["src"]).groupBy("origin", F.col("dst").alias("node")).agg(F.min(F.col("weak") | F.col("step_weak")).alias("weak"))
-        seen = reduce(DataFrame.unionByName, layers).groupBy("origin", "node").agg(F.min("weak").alias("known_weak"))
-        fresh = step.join(seen, ["origin", "node"], "left").where(F.col("known_weak").isNull() | (F.col("known_weak") & ~F.col("weak")))
-        frontier = cut(fresh.select("origin", "node", "weak", F.lit(d).alias("depth")))
-        if frontier.isEmpty():
-            break
-        layers.append(frontier)
-    return reduce(DataFrame.unionByName, layers)
-
-
 def reach(origins: DataFrame, edges: DataFrame, open_nodes: DataFrame, *, weak: str = "suffix_match", depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
     """Reach of each origin: ``(origin, path, is_heuristic, depth)`` and ``(origin, open, reason)``.
 
     origins: ``origin``; edges: ``src, dst, resolution``; open_nodes: ``src, reason``. What strong edges reach is proven, what only a path
-    with a weak edge reaches is heuristic; the origin itself is proven. A scope is open if a reached file leaves includes open, if something
-    lies at the greatest depth, or if more than ``max_nodes`` are reached; the reasons' order is unresolved, ambiguous, depth_limit, node_limit.
-    Nothing is cut off at ``max_nodes``. Null origins and edge ends reach nothing.
+    with a weak edge reaches is heuristic; the origin itself is proven. Files are visited breadth first, the edges of each in the order of
+    :func:`normalized_edges`. Once ``max_nodes`` files are known no further one is taken: a file's edges are left at the first that leads to
+    one, and those before still make known files proven. A scope is open, for the cause met first on the way: a reached file that leaves includes
+    open, the limit of files, a file at the greatest depth. ``depth`` of a file is that of its first arrival. Null origins and edge ends reach nothing.
+
+    One round per level: the frontier meets the edges (of a file no more than ``max_nodes + 1``, the rest cannot be visited), and all that
+    follows is partitioned by origin, whose rows are bounded. Each round's arrivals are written out, so a lost executor costs one round.
     """
-    e = cut(edges.where("src is not null and dst is not null").select("src", "dst", (F.col("resolution") == weak).alias("weak")).distinct())
-    o = origins.where("origin is not null").select("origin").distinct()
-    files = _closure(o, e, depth).groupBy("origin", F.col("node").alias("path")).agg(F.min("weak").alias("is_heuristic"), F.min("depth").alias("depth"))
-    reasons = files.join(open_nodes.select(F.col("src").alias("path"), "reason"), "path", "left")
-    rank = F.when(F.col("reason") == "unresolved_include", 0).when(F.col("reason") == "ambiguous_include", 1).when(F.col("depth") >= depth, 2)
-    scope = reasons.groupBy("origin").agg(F.min(rank).alias("rank"), F.count("*").alias("n_files"))
-    rank = F.coalesce("rank", F.when(F.col("n_files") > max_nodes, 3))
-    reason = F.when(rank == 0, "unresolved_include").when(rank == 1, "ambiguous_include").when(rank == 2, "depth_limit").when(rank == 3, "node_limit")
-    return files, scope.select("origin", rank.isNotNull().alias("open"), reason.alias("reason"))
+    per = edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min((F.col("resolution") != "external_exact").cast("int")).alias("later"), F.min(F.col("resolution") == weak).alias("weak"))
+    order = Window.partitionBy("src").orderBy("later", "dst")
+    e = cut(per.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_nodes + 1).select("src", "dst", F.col("weak").alias("step_weak"), "place"))
+    spark, base = e.sparkSession, fresh_folder(e.sparkSession, "reach")
+    schema = f"origin {origins.schema['origin'].dataType.simpleString()}, node string, weak boolean, depth int, rank bigint, fresh boolean"
+    read = lambda rounds: spark.read.schema(schema).parquet(*[f"{base}/{i}" for i in rounds])
+    start = origins.where("origin is not null").select("origin").distinct()
+    start.select("origin", F.col("origin").alias("node"), F.lit(False).alias("weak"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("rank"), F.lit(True).alias("fresh")).write.parquet(f"{base}/0")
+    by_node, by_origin, by_parent = (Window.partitionBy("origin", *c) for c in (["node"], [], ["parent"]))
+    so_far = by_origin.orderBy(F.col("at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    none = F.lit(None).cast("bigint")
+    rounds = [0]
+    for d in range(1, depth + 1):
+        # Arrivals in visiting order, beside what is known; then all that follows stays within the partitions of the origins.
+        steps = read([d - 1]).where("fresh is not null").join(e, F.col("node") == e["src"]).select("origin", F.col("dst").alias("node"), (F.col("weak") | F.col("step_weak")).alias("weak"), F.col("rank").alias("parent"), (F.col("rank") * (max_nodes + 2) + F.col("place")).alias("at"), F.lit(False).alias("known"), F.lit(False).alias("one"))
+        known = read(rounds).where("fresh is not null").select("origin", "node", "weak", none.alias("parent"), none.alias("at"), F.lit(True).alias("known"), F.col("fresh").alias("one"))
+        rows = steps.unionByName(known).repartition("origin")
+        rows = rows.select("*", F.max("known").over(by_node).alias("is_known"), F.max(F.col("known") & ~F.col("weak")).over(by_node).alias("proven"), F.min("at").over(by_node).alias("first"))
+        # New files are counted where they are met first; what is beyond the limit is refused, and so is the rest of that file's edges.
+        new = ~F.col("is_known") & (F.col("at") == F.col("first"))
+        counted = rows.select("*", F.count(F.when(F.col("one") | new, 1)).over(so_far).alias("there"))
+        refused = ~F.col("is_known") & (F.max(F.when(new, F.col("there"))).over(by_node) > max_nodes)
+        counted = counted.select("*", refused.alias("refused")).where("not known").select("*", F.min(F.when(F.col("refused"), F.col("at"))).over(by_parent).alias("stop"))
+        valid = counted.where(F.col("stop").isNull() | (F.col("at") <= F.col("stop"))).select("*", F.min(F.when(~F.col("refused") & ~F.col("weak"), F.col("at"))).over(by_node).alias("strong_first"))
+        arrives = ~F.col("refused") & (new | (~F.col("proven") & (F.col("at") == F.col("strong_first"))))
+        taken = valid.where(arrives | (F.col("refused") & (F.col("at") == F.col("stop"))))
+        # ``fresh``: first arrival or promotion; null for the marks of the limit.
+        taken.select("origin", "node", "weak", F.lit(d).alias("depth"), F.row_number().over(by_origin.orderBy("at")).cast("bigint").alias("rank"), F.when(~F.col("refused"), ~F.col("is_known")).alias("fresh")).write.parquet(f"{base}/{d}")
+        rounds.append(d)
+        if read([d]).isEmpty():
+            break
+    every = read(rounds)
+    files = every.where("fresh is not null").groupBy("origin", F.col("node").alias("path")).agg(F.min("weak").alias("is_heuristic"), F.min("depth").alias("depth"))
+    # The causes in the order in which they are met: a file's own at its arrival, the limit where it refuses, the depth when a file there is visited.
+    own = every.where("fresh is not null").join(open_nodes.select(F.col("src").alias("node"), "reason"), "node").select("origin", F.struct("depth", "rank").alias("met"), "reason")
+    limit = every.where("fresh is null").select("origin", F.struct("depth", "rank").alias("met"), F.lit("node_limit").alias("reason"))
+    deep = every.where((F.col("depth") == depth) & F.col("fresh").isNotNull()).select("origin", F.struct(F.lit(depth + 1).alias("depth"), "rank").alias("met"), F.lit("depth_limit").alias("reason"))
+    causes = own.unionByName(limit).unionByName(deep).groupBy("origin").agg(F.min_by("reason", "met").alias("reason"))
+    return files, start.join(causes, "origin", "left").select("origin", F.col("reason").isNotNull().alias("open"), "reason")
 
 
 def package_reach(origins: DataFrame, edges: DataFrame, members: DataFrame, *, depth: int = MAX_DEPTH) -> DataFrame:

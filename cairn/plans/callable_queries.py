@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.common import kept
 from cairn.functions import names as N
-from cairn.functions import paths as P
 from cairn.functions import ranking as R
 from cairn.operators import callables as C
 from cairn.operators import candidates as K
-from cairn.plans.base import FILES_SQL, LIVE_SQL, SITES_SQL, files, live_anchors, sites
+from cairn.plans import graph_queries as GQ
+from cairn.plans.base import LIVE_SQL, SITES_SQL, live_anchors, sites
 
 
 def _family(path):
@@ -71,12 +72,15 @@ def j4_sites_with_callers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j16_counterparts(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairing of definitions and header declarations; a source reaches the headers of its own stem."""
-    stem = F.regexp_replace("path", r"\.[^./]*$", "")
-    f = files(spark, folder).withColumn("stem", stem)
-    s, h = f.where(R.is_source_path(F.col("path"))), f.where(R.is_header_path(F.col("path")))
-    reach = s.select("stem", F.col("path").alias("source_path")).join(h.select("stem", F.col("path").alias("header_path")), "stem").drop("stem")
-    return C.counterparts(live_anchors(spark, folder), reach)
+    """Pairing of definitions and header declarations: the header has to lie in the proven reach of the source. Only sources with a header declaration of the same callable are searched from."""
+    return kept(spark, folder, GQ.GRAPH_TABLES, "counterparts", lambda: _counterparts(spark, folder))
+
+
+def _counterparts(spark: SparkSession, folder: str) -> DataFrame:
+    a = live_anchors(spark, folder)
+    asked = C.counterpart_sources(a).withColumnRenamed("source_path", "origin")
+    reached = GQ.reach_of(spark, folder, asked)[0].where("not is_heuristic")
+    return C.counterparts(a, reached.select(F.col("origin").alias("source_path"), F.col("path").alias("header_path")))
 
 
 def g9_pairing_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,26 +186,36 @@ def w12_primary_anchor(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- candidate sets ---------------------------------------------------------------------------------------------
 def _candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidates for the names of the stated anchors (ids divisible by 100) seen from the least of their files."""
+    """Candidates for the names of the stated anchors (ids divisible by 100) seen from the least of their files: tiers by that file's reach. Written once for a state of the tables."""
+    return kept(spark, folder, GQ.GRAPH_TABLES, "candidates", lambda: _tiered_candidates(spark, folder))
+
+
+def _tiered_candidates(spark: SparkSession, folder: str) -> DataFrame:
     a = live_anchors(spark, folder).where("name is not null and path is not null")
     asked = a.where("id % 100 = 0").groupBy(F.col("name").alias("query")).agg(F.min("path").alias("current"))
+    reached, scopes, direct = GQ.reach_of(spark, folder, asked.select(F.col("current").alias("origin")).distinct())
     c = a.join(asked, a["name"] == asked["query"])
-    near = P.dirname(F.col("path")) == P.dirname(F.col("current"))
-    tier = R.scope_tier(F.col("external"), F.coalesce("directly_included", F.lit(False)), F.lit(True), F.col("path") == F.col("current"), F.lit(True), near & (F.length("path") % 2 == 0), near, F.length("current") % 5 == 0)
+    c = K.with_tiers(c, reached, scopes, direct)
     fidelity = F.when(F.col("signature_fidelity") != "ast_exact", "partial").when(F.coalesce("syntax_error_overlap", F.lit(False)), "low").otherwise("authoritative")
-    return c.select("query", "current", "id", F.lower("entity_key").alias("logical_key"), "kind", tier.alias("tier"), fidelity.alias("fidelity"), "role", "guard", F.lit(0).alias("origin_rank"), "path", "start_byte", "start_line", "external")
+    return c.select("query", "current", "id", F.lower("entity_key").alias("logical_key"), "kind", "tier", fidelity.alias("fidelity"), "role", "guard", F.lit(0).alias("origin_rank"), "path", "start_byte", "start_line", "external", "in_heuristic", "open_reason")
 
 
 def _focused(spark: SparkSession, folder: str) -> DataFrame:
     return K.focus(K.grouped(_candidates(spark, folder)), F.lit("call"))
 
 
-_DIRNAME = "regexp_replace({0}, '/?[^/]*$', '')"
-_NEAR = f"{_DIRNAME.format('path')} = {_DIRNAME.format('current')}"
-_CAND = f"""(select *, case tier when 'current' then 4 when 'reachable' then 3 when 'external' then 2 when 'unknown' then 1 else 0 end as tier_rank from (select q.query, q.current, a.id, lower(a.entity_key) as logical_key, a.kind, a.role, a.guard, a.path, a.start_byte, a.start_line, a.external,
- case when a.external and coalesce(a.directly_included, false) then 'external' when path = current then 'current' when {_NEAR} and length(path) % 2 = 0 then 'reachable' when {_NEAR} then 'unknown' when length(current) % 5 = 0 then 'unknown' else 'global' end as tier,
- case when a.signature_fidelity <> 'ast_exact' then 'partial' when coalesce(a.syntax_error_overlap, false) then 'low' else 'authoritative' end as fidelity
- from {LIVE_SQL} a join (select name as query, min(path) as current from {LIVE_SQL} where id % 100 = 0 and name is not null and path is not null group by 1) q on a.name = q.query where a.path is not null))"""
+def tiered_sql(rows: str) -> str:
+    """Rows ``(current, path, external, ...)`` with ``tier, in_heuristic, open_reason`` by the reach of their current file."""
+    return f"""({GQ.reach_sql(f"(select current as origin from {rows})")}
+ select a.*, case when a.external and d.dst is not null then 'external' when a.path = a.current then 'current' when not f.is_heuristic then 'reachable' when f.is_heuristic then 'unknown' when s.open then 'unknown' else 'global' end as tier,
+  coalesce(f.is_heuristic, false) as in_heuristic, s.reason as open_reason from {rows} a left join files f on f.origin = a.current and f.path = a.path left join scopes s on s.origin = a.current
+  left join (select distinct src, dst from edges_ where resolution = 'external_exact' and starts_with(dst, '/')) d on d.src = a.current and d.dst = a.path)"""
+
+
+_ASKED = f"(select q.query, q.current, a.* from {LIVE_SQL} a join (select name as query, min(path) as current from {LIVE_SQL} where id % 100 = 0 and name is not null and path is not null group by 1) q on a.name = q.query where a.path is not null)"
+_CAND = f"""(select query, current, id, lower(entity_key) as logical_key, kind, role, guard, path, start_byte, start_line, external, in_heuristic, open_reason, tier,
+ case when signature_fidelity <> 'ast_exact' then 'partial' when coalesce(syntax_error_overlap, false) then 'low' else 'authoritative' end as fidelity,
+ case tier when 'current' then 4 when 'reachable' then 3 when 'external' then 2 when 'unknown' then 1 else 0 end as tier_rank from {tiered_sql(_ASKED)})"""
 _ROLE3 = "case role when 'definition' then 3 when 'tentative' then 2 when 'declaration' then 1 else 0 end"
 _GROUPED = f"""(select *, row_number() over (partition by query, group_key order by tier_rank desc, case fidelity when 'authoritative' then 2 when 'partial' then 1 else 0 end desc, {_ROLE3} desc, (coalesce(trim(guard), '') = '')::int desc, path, start_byte, id) as position,
  max(tier_rank) over (partition by query, group_key) as group_tier, bool_or(fidelity = 'authoritative') over (partition by query, group_key) as authoritative, count(*) over (partition by query, group_key) as group_size
@@ -222,7 +236,7 @@ def w2_focus(spark: SparkSession, folder: str) -> DataFrame:
 
 def a8_dispositions(spark: SparkSession, folder: str) -> DataFrame:
     """How far each candidate set can be trusted."""
-    return K.dispositions(_focused(spark, folder), F.length("query") % 2 == 0)
+    return K.dispositions(_focused(spark, folder), F.col("open_reason").isNull())
 
 
 def w3_definitions(spark: SparkSession, folder: str) -> DataFrame:
@@ -258,7 +272,7 @@ def t5_group_order(spark: SparkSession, folder: str) -> DataFrame:
 
 def x8_confidence(spark: SparkSession, folder: str) -> DataFrame:
     """Confidence, reason, label and visibility of each candidate."""
-    conf = R.confidence_for(F.col("tier"), F.length("query") % 2 == 0, F.when(F.length("current") % 3 == 0, "ambiguous_include").otherwise("unresolved_include"))
+    conf = R.confidence_for(F.col("tier"), F.lit(True), F.col("open_reason"))
     c = _candidates(spark, folder).withColumn("confidence", conf)
     return c.select("query", "id", "tier", "confidence", R.reason_for(F.col("tier")).alias("reason"), R.scope_label(F.col("tier"), F.col("confidence")).alias("label"), R.lookup(F.col("tier"), R.VISIBILITY).alias("visibility"))
 
@@ -270,8 +284,7 @@ def x9_definition_base(spark: SparkSession, folder: str) -> DataFrame:
 
 def f11_coloring_scope(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates whose scope may colour tokens."""
-    near = P.dirname(F.col("path")) == P.dirname(F.col("current"))
-    return _candidates(spark, folder).where(R.coloring_allowed(F.col("tier"), near)).select("query", "id")
+    return _candidates(spark, folder).where(R.coloring_allowed(F.col("tier"), F.col("in_heuristic"))).select("query", "id")
 
 
 def f13_intent_gate(spark: SparkSession, folder: str) -> DataFrame:
@@ -360,10 +373,10 @@ def p18_callable_candidates(spark: SparkSession, folder: str) -> DataFrame:
 _USAGE = f"(select s.path, s.name, count(*) as uses, max(s.at) as nearest, max(c.cursor) as cursor from (select path, callee_name as name, callee_range.start_byte as at from {SITES_SQL} where callee_name is not null) s join (select path, max(callee_range.start_byte) // 2 as cursor from {SITES_SQL} where callee_name is not null group by 1) c using (path) where s.at + strlen(s.name) <= c.cursor group by 1, 2)"
 _DEFBASE = "case role when 'definition' then 1000 when 'tentative' then 750 when 'declaration' then 500 else 0 end + case when kind in ('function', 'method') and regexp_matches(lower(path), '[^/]\\.(c|cc|cpp|cxx)$') then 100 else 0 end - case when coalesce(trim(guard), '') <> '' then 1 else 0 end"
 _LOCAL = "10 * least(10, coalesce(list_position(list_transform(range(1, greatest(len(string_split(path, '/')), len(string_split(current, '/'))) + 1), lambda i: coalesce(string_split(path, '/')[i] = string_split(current, '/')[i], false)), false) - 1, len(string_split(path, '/'))))"
-_STEM = "regexp_replace(path, '\\.[^./]*$', '')"
 _SRC, _HDR = "regexp_matches(lower(path), '[^/]\\.(c|cc|cpp|cxx)$')", "regexp_matches(lower(path), '[^/]\\.(h|hh|hpp|hxx|inl)$')"
 _FIT = f"(select * from {LIVE_SQL} where kind = 'function' and (owner_kind is null or owner_kind = 'namespace') and linkage_kind = 'external' and signature_fidelity = 'ast_exact' and coalesce(canonical_signature, '') <> '')"
-_PAIRS = f"""(with l as (select s.id sid, h.id hid from {_FIT} s join {_FIT} h using (name, qualified_name, canonical_signature) where s.role = 'definition' and {_SRC.replace('path', 's.path')} and h.role = 'declaration' and {_HDR.replace('path', 'h.path')} and {_STEM.replace('path', 's.path')} = {_STEM.replace('path', 'h.path')} and s.path in (select path from {FILES_SQL}) and h.path in (select path from {FILES_SQL})),
+_LINKS = f"(select s.id sid, h.id hid, s.path as source_path, h.path as header_path from {_FIT} s join {_FIT} h using (name, qualified_name, canonical_signature) where s.role = 'definition' and {_SRC.replace('path', 's.path')} and h.role = 'declaration' and {_HDR.replace('path', 'h.path')})"
+_PAIRS = f"""({GQ.reach_sql(f"(select source_path as origin from {_LINKS})")}, l as (select k.* from {_LINKS} k join files f on f.origin = k.source_path and f.path = k.header_path and not f.is_heuristic),
  d as (select *, count(*) over (partition by sid) ds, count(*) over (partition by hid) dh from l), e as (select sid id, ds deg, hid other, ds = 1 and dh = 1 pair from d union all select hid, dh, sid, ds = 1 and dh = 1 from d),
  p as (select id, max(deg) deg, bool_or(pair) pair, max(other) filter (where pair) other from e group by 1)
  select a.id, case when p.pair then 'strict_one_to_one' when p.deg is null then 'unpaired' else 'ambiguous' end as evidence, coalesce(p.deg, 0) as degree, p.other as counterpart_id from {LIVE_SQL} a left join p using (id))"""
@@ -419,14 +432,14 @@ SQL = {
     "w12_primary_anchor": f"select entity, id, any_body from {_E}",
     "a7_groups": f"select query, id, group_key, position, group_tier, authoritative, group_size from {_GROUPED}",
     "w2_focus": f"select query, group_key, id from {_FOCUSED} where focused and position = 1",
-    "a8_dispositions": f"select query, n_groups, n_focused, alternative_count, case when n_auth = 0 then 'fallback' when n_focused > 1 then 'ambiguous' when n_focused = 0 or not ok then 'fallback' when length(query) % 2 = 0 then 'exact' else 'preferred' end as disposition from (select query, count(*) as n_groups, count(*) filter (where focused) as n_focused, count(*) filter (where authoritative) n_auth, coalesce(bool_and(authoritative) filter (where focused), false) ok, coalesce(sum(group_size) filter (where not focused), 0)::bigint as alternative_count from {_FOCUSED} where position = 1 group by 1)",
+    "a8_dispositions": f"select query, n_groups, n_focused, alternative_count, case when n_auth = 0 then 'fallback' when n_focused > 1 then 'ambiguous' when n_focused = 0 or not ok then 'fallback' when complete then 'exact' else 'preferred' end as disposition from (select query, bool_and(open_reason is null) as complete, count(*) as n_groups, count(*) filter (where focused) as n_focused, count(*) filter (where authoritative) n_auth, coalesce(bool_and(authoritative) filter (where focused), false) ok, coalesce(sum(group_size) filter (where not focused), 0)::bigint as alternative_count from {_FOCUSED} where position = 1 group by 1)",
     "w3_definitions": f"select query, id, role from (select *, min(rr) over (partition by query, group_key) b from (select *, case role when 'definition' then 0 when 'tentative' then 1 when 'declaration' then 2 when 'unknown' then 3 else 9 end rr from {_FOCUSED} where focused)) where case when b = 9 then position = 1 else rr = b end",
     "w3_declarations": f"select query, id, role from (select *, min(rr) over (partition by query, group_key) b from (select *, case role when 'declaration' then 0 else 9 end rr from {_FOCUSED} where focused)) where case when b = 9 then position = 1 else rr = b end",
     "t3_candidate_order": f"select query, id, packed, row_number() over (partition by query order by packed desc, path, start_line, id) as position from (select *, tier_rank * 2048 + {_DEFBASE} + {_LOCAL} as packed from {_CAND})",
     "t5_group_order": f"select query, group_key, row_number() over (partition by query order by group_tier desc, case kind when 'function' then 0 when 'method' then 1 when 'type' then 2 when 'alias' then 3 when 'object' then 4 when 'enum_constant' then 5 when 'macro' then 6 else 9 end, group_key) as place from {_GROUPED} where position = 1",
-    "x8_confidence": f"select query, id, tier, confidence, case tier when 'current' then 'current_file' when 'reachable' then 'reachable_include' when 'external' then 'external_first_layer' else 'global_fallback' end as reason, case when tier <> 'current' then case confidence when 'reachable' then 'reachable' when 'heuristic' then 'external' when 'ambiguous' then 'ambiguous' when 'fallback' then 'global' end end as label, case tier when 'current' then 'current_visible' when 'reachable' then 'reachable' when 'external' then 'external_first_layer' when 'unknown' then 'uncertain' else 'workspace_fallback' end as visibility from (select *, case when tier = 'current' and length(query) % 2 = 0 then 'exact' when tier in ('current', 'reachable') then 'reachable' when tier = 'external' then 'heuristic' when tier = 'unknown' and length(current) % 3 = 0 then 'ambiguous' else 'fallback' end as confidence from {_CAND})",
+    "x8_confidence": f"select query, id, tier, confidence, case tier when 'current' then 'current_file' when 'reachable' then 'reachable_include' when 'external' then 'external_first_layer' else 'global_fallback' end as reason, case when tier <> 'current' then case confidence when 'reachable' then 'reachable' when 'heuristic' then 'external' when 'ambiguous' then 'ambiguous' when 'fallback' then 'global' end end as label, case tier when 'current' then 'current_visible' when 'reachable' then 'reachable' when 'external' then 'external_first_layer' when 'unknown' then 'uncertain' else 'workspace_fallback' end as visibility from (select *, case when tier = 'current' then 'exact' when tier = 'reachable' then 'reachable' when tier = 'external' then 'heuristic' when tier = 'unknown' and open_reason = 'ambiguous_include' then 'ambiguous' else 'fallback' end as confidence from {_CAND})",
     "x9_definition_base": f"select id, {_DEFBASE} as base from {LIVE_SQL}",
-    "f11_coloring_scope": f"select query, id from {_CAND} where tier in ('current', 'reachable', 'external') or (tier = 'unknown' and {_NEAR})",
+    "f11_coloring_scope": f"select query, id from {_CAND} where tier in ('current', 'reachable', 'external') or (tier = 'unknown' and in_heuristic)",
     "f13_intent_gate": f"select kind, intent, case intent when 'neutral' then true when 'call' then kind in ('function', 'method') when 'type' then kind in ('type', 'alias') else kind in ('object', 'enum_constant', 'macro', 'function', 'method') end as accepts from (select distinct kind from {LIVE_SQL}), (values ('call'), ('type'), ('value'), ('neutral')) i(intent)",
     "a9_best_per_name": f"select query, id, tier from (select *, row_number() over (partition by query order by tier_rank desc, case fidelity when 'authoritative' then 2 when 'partial' then 1 else 0 end desc, id) r from {_CAND}) where r = 1",
     "a10_merged_evidence": f"select * from {_MERGED}",

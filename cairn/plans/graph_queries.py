@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.common import materialize, table
+from cairn.common import kept, table
 from cairn.functions import paths as P
 from cairn.operators import graph, includes, packages
 from cairn.plans.base import FILES_SQL, INCLUDES_SQL, files, raw_includes
@@ -88,9 +88,24 @@ def _origins(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "source_texts").where("file_id % 100 = 0 and path is not null").select(F.col("path").alias("origin")).distinct()
 
 
+#: Tables that the include graph is made of.
+GRAPH_TABLES = ("source_texts", "call_sites", "callable_anchors")
+
+
+def graph_of(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The resolved includes and the include edges, written once for a state of the tables."""
+    resolved = kept(spark, folder, GRAPH_TABLES, "resolved", lambda: _resolved(spark, folder))
+    return resolved, kept(spark, folder, GRAPH_TABLES, "edges", lambda: includes.include_edges(resolved, files(spark, folder)))
+
+
+def reach_of(spark: SparkSession, folder: str, origins: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files and scopes of the reach of ``origin``s, and the first-layer external targets of all files."""
+    resolved, edges = graph_of(spark, folder)
+    return *graph.reach(origins, edges, includes.open_nodes(resolved)), graph.direct_external(edges)
+
+
 def _reach(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    resolved = materialize(_resolved(spark, folder), "resolved")
-    return graph.reach(_origins(spark, folder), includes.include_edges(resolved, files(spark, folder)), includes.open_nodes(resolved))
+    return reach_of(spark, folder, _origins(spark, folder))[:2]
 
 
 def g1_reach_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,11 +219,33 @@ def p8_import_completion(spark: SparkSession, folder: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-_REACH = f"""with recursive e as (select * from {_EDGES}), o as (select distinct path as origin from source_texts where file_id % 100 = 0 and path is not null),
- s(origin, node, depth) as (select origin, origin, 0 from o union select s.origin, e.dst, s.depth + 1 from s join e on e.src = s.node where e.resolution <> 'suffix_match' and s.depth < 32),
- a(origin, node, depth) as (select origin, origin, 0 from o union select a.origin, e.dst, a.depth + 1 from a join e on e.src = a.node where a.depth < 32),
- files as (select a.origin, a.node as path, (a.origin, a.node) not in (select (origin, node) from s) as is_heuristic, min(a.depth) as depth from a group by 1, 2)"""
 _OPEN = f"(select src, case when count(*) filter (where status = 'unresolved') > 0 then 'unresolved_include' else 'ambiguous_include' end as reason from {_RESOLVED} where status <> 'edge' group by 1)"
+
+
+def reach_sql(origins: str) -> str:
+    """Common tables ``edges_``, ``files`` and ``scopes`` of the reach of the rows ``(origin)``: level by level in visiting order, each round carrying on what is known."""
+    return f"""with recursive edges_ as materialized (select * from {_EDGES}), opened as materialized (select * from {_OPEN}),
+ steps as materialized (select src, dst, resolution = 'suffix_match' as step_weak, row_number() over (partition by src order by (resolution <> 'external_exact')::int, dst) as place from edges_),
+ s(round, origin, node, weak, depth, rank, fresh) as (select 0, origin, origin, false, 0, 1::bigint, true from (select distinct origin from {origins} where origin is not null)
+  union all
+  select * from (with c as (select s.round, s.origin, e.dst as node, s.weak or e.step_weak as weak, s.rank as parent, s.rank * 4098 + e.place as seq_ from s join steps e on e.src = s.node where s.depth = s.round and s.fresh is not null and s.round < 32),
+   k as (select origin, node, bool_or(not weak) as proven from s where fresh is not null group by 1, 2), n as (select origin, count(*) n from k group by 1),
+   c1 as (select c.*, k.node is not null as is_known, coalesce(k.proven, false) as proven, min(seq_) over (partition by c.origin, c.node) as fst from c left join k on k.origin = c.origin and k.node = c.node),
+   c2 as (select c1.*, n.n + count(*) filter (where not is_known and seq_ = fst) over (partition by c1.origin order by seq_) as there from c1 join n on n.origin = c1.origin),
+   c3 as (select *, not is_known and max(there) filter (where seq_ = fst) over (partition by origin, node) > 4096 as refused from c2),
+   c4 as (select *, min(seq_) filter (where refused) over (partition by origin, parent) as stop from c3),
+   c5 as (select *, min(seq_) filter (where not refused and not weak) over (partition by origin, node) as sf from c4 where stop is null or seq_ <= stop)
+   select round + 1, origin, node, weak, depth, rank, fresh from s where exists (select 1 from c)
+   union all select round + 1, origin, node, weak, round + 1, row_number() over (partition by origin order by seq_), case when not refused then not is_known end from c5
+    where (refused and seq_ = stop) or (not refused and ((not is_known and seq_ = fst) or (not proven and seq_ = sf))))),
+ reached as materialized (select * from s where round = (select max(round) from s)),
+ files as materialized (select origin, node as path, bool_and(weak) as is_heuristic, min(depth) as depth from reached where fresh is not null group by 1, 2),
+ causes as (select origin, depth, rank, reason from reached join opened on src = node where fresh is not null union all select origin, depth, rank, 'node_limit' from reached where fresh is null
+  union all select origin, 33, rank, 'depth_limit' from reached where depth = 32 and fresh is not null),
+ scopes as materialized (select o.origin, c.reason is not null as open, c.reason from (select distinct origin from files) o left join (select origin, arg_min(reason, depth::bigint * 1000000000 + rank) as reason from causes group by 1) c using (origin))"""
+
+
+_REACH = reach_sql("(select path as origin from source_texts where file_id % 100 = 0)")
 _GO = r"""(select path, text, regexp_replace(path, '/?[^/]*$', '') as dir, regexp_extract(text, '(?m)^package[ \t]+(\w+)', 1) as name, regexp_replace(path, '/?[^/]*$', '') || '#' || regexp_extract(text, '(?m)^package[ \t]+(\w+)', 1) as package
  from source_texts where ends_with(path, '.go') and text is not null and not starts_with(path, '/') and regexp_extract(text, '(?m)^package[ \t]+(\w+)', 1) <> '')"""
 _IMPORTABLE = f"(select distinct package, dir, split_part(dir, '/', 1) || '.example' || substr(dir, length(split_part(dir, '/', 1)) + 1) as import_path from {_GO} where name <> 'main' and not ends_with(name, '_test'))"
@@ -236,7 +273,7 @@ SQL = {
     "a19_external_sources": f"select dst, count(distinct src) as n_sources from {_EDGES} where resolution = 'external_exact' and starts_with(dst, '/') group by 1",
     "x16_include_targets": f"select distinct target_text, case when rel is not null then form end as form, trim(rel) as rel from {_FORM}",
     "g1_reach_files": f"{_REACH} select * from files",
-    "g1_reach_scopes": f"{_REACH}, r as (select f.origin, min(case when o.reason = 'unresolved_include' then 0 when o.reason = 'ambiguous_include' then 1 when f.depth >= 32 then 2 end) r, count(*) n from files f left join {_OPEN} o on o.src = f.path group by 1), q as (select origin, coalesce(r, case when n > 4096 then 3 end) r from r) select origin, r is not null as open, case r when 0 then 'unresolved_include' when 1 then 'ambiguous_include' when 2 then 'depth_limit' when 3 then 'node_limit' end as reason from q",
+    "g1_reach_scopes": f"{_REACH} select * from scopes",
     "g3_visit_order": f"select src, row_number() over (partition by src order by case when resolution = 'external_exact' then 0 else 1 end, dst, resolution) - 1 as position, dst, resolution from {_EDGES}",
     "g4_open_reasons": f"select * from {_OPEN}",
     "g5_direct_external": f"select src, dst from {_EDGES} where resolution = 'external_exact' and starts_with(dst, '/')",

@@ -155,19 +155,65 @@ def test_reach_limits(spark):
     assert graph.reach(o, chain, none, max_nodes=6)[1].collect()[0][1:] == (True, "node_limit")
 
 
-def test_reach_beyond_the_node_limit_is_whole(spark):
-    """More files than the limit, one of them promoted late, and the reason for an open scope far out."""
-    strong = [("a", "b0"), *[(f"b{i}", f"b{i + 1}") for i in range(5)], *[("a", f"c{i}") for i in range(6)], ("b5", "late"), ("late", "end")]
-    e = spark.createDataFrame([(*x, "workspace_exact") for x in strong] + [("a", "late", "suffix_match"), ("c0", "guess", "suffix_match")], "src string, dst string, resolution string")
+def walked(start, edges, opened, depth, most):
+    """The search as a queue: files, heuristic files, and the first cause of an open scope."""
+    out = {}
+    for s, d, r in sorted({(s, d, r) for s, d, r in edges}, key=lambda x: (x[2] != "external_exact", x[1])):
+        out.setdefault(s, []).append((d, r == "suffix_match"))
+    files, guessed, causes = {start}, set(), [opened[start]] if start in opened else []
+    queue = [(start, 0, False)]
+    for node, d, weak in queue:
+        if d >= depth:
+            causes.append("depth_limit")
+            continue
+        for target, step in out.get(node, []):
+            new = target not in files and target not in guessed
+            if new and len(files) + len(guessed) >= most:
+                causes.append("node_limit")
+                break
+            if weak or step:
+                taken = new
+                guessed |= {target} if new else set()
+            else:
+                taken = target not in files
+                files.add(target)
+                guessed.discard(target)
+            if taken:
+                causes += [opened[target]] if target in opened else []
+                queue.append((target, d + 1, weak or step))
+    return files, guessed, (bool(causes), causes[0] if causes else None)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_reach_follows_the_visiting_order(spark, seed):
+    """Limits of files and depth, late promotions and causes against the walk, for many origins at once."""
+    import random
+
+    rnd = random.Random(seed)
+    kinds = ["external_exact", "workspace_exact", "suffix_match", "suffix_match"]
+    names = [f"n{i:02}" for i in range(24)]
+    edges = [(*x, rnd.choice(kinds)) for x in {(rnd.choice(names), rnd.choice(names)) for _ in range(60)} if x[0] != x[1]]
+    opened = {n: rnd.choice(["unresolved_include", "ambiguous_include"]) for n in rnd.sample(names, 4)}
+    most, depth = rnd.choice([3, 6, 9]), rnd.choice([2, 4, 30])
+    e = spark.createDataFrame(edges, "src string, dst string, resolution string")
+    f, s = graph.reach(spark.createDataFrame([(n,) for n in names], "origin string"), e, spark.createDataFrame(list(opened.items()), "src string, reason string"), depth=depth, max_nodes=most)
+    rows = f.collect()
+    assert len(rows) == len({(r["origin"], r["path"]) for r in rows})
+    scopes = {r["origin"]: (r["open"], r["reason"]) for r in s.collect()}
+    for n in names:
+        own = [r for r in rows if r["origin"] == n]
+        got = {r["path"] for r in own if not r["is_heuristic"]}, {r["path"] for r in own if r["is_heuristic"]}, scopes[n]
+        assert got == walked(n, edges, opened, depth, most)
+
+
+def test_reach_of_a_star_beyond_the_limit(spark):
+    """4,097 direct targets: the first 4,095 are taken, one of them proven by an edge before the first refused one."""
+    edges = [("start.h", f"t{i:04}.h", "suffix_match" if i == 7 else "workspace_exact") for i in range(4097)] + [("t0001.h", "t0007.h", "workspace_exact"), ("t0002.h", "a.h", "workspace_exact"), ("t0002.h", "t0007.h", "workspace_exact")]
     none = spark.createDataFrame([], "src string, reason string")
-    origin = spark.createDataFrame([("a",)], "origin string")
-    files, scope = graph.reach(origin, e, none, max_nodes=4)
-    got = {r["path"]: (r["is_heuristic"], r["depth"]) for r in files.collect()}
-    assert set(got) == {"a", "late", "end", "guess", *[f"b{i}" for i in range(6)], *[f"c{i}" for i in range(6)]}
-    assert got["late"] == (False, 1) and got["end"] == (False, 2) and got["guess"] == (True, 2) and got["b5"] == (False, 6)
-    assert [tuple(r) for r in scope.collect()] == [("a", True, "node_limit")]
-    opened = spark.createDataFrame([("end", "unresolved_include")], "src string, reason string")
-    assert [tuple(r) for r in graph.reach(origin, e, opened, max_nodes=2)[1].collect()] == [("a", True, "unresolved_include")]
+    files, scope = graph.reach(spark.createDataFrame([("start.h",)], "origin string"), spark.createDataFrame(edges, "src string, dst string, resolution string"), none)
+    got = {r["path"]: r["is_heuristic"] for r in files.collect()}
+    assert len(got) == 4096 and set(got) == {"start.h", *[f"t{i:04}.h" for i in range(4095)]} and not any(got.values())
+    assert [tuple(r) for r in scope.collect()] == [("start.h", True, "node_limit")]
 
 
 def test_package_reach_has_no_promotion(spark):
