@@ -215,7 +215,7 @@ def comment_lines(text: str, line: int) -> list[str]:
     return out[::-1] if not inside else []
 
 
-def comment_markdown(lines: list[str], most: int = 4096) -> str | None:
+def comment_markdown(lines: list[str], most: int = 2000) -> str | None:
     """A documentation comment as Markdown: text, then parameters and return value; None without content."""
     blocks: list[list[str]] = [[]]
     for x in lines:

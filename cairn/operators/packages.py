@@ -9,14 +9,20 @@ from cairn.functions import paths as P
 from cairn.functions.names import lower_ascii
 
 
-def nearest_ancestor(files: DataFrame, owners: DataFrame, *, fold_case: bool = False, most: int = 64) -> DataFrame:
-    """``(path, dir, value)``: the deepest owner directory at or above each file, at most ``most`` levels up; files without one are missing.
+#: Fixed value: levels above a package at which its module is looked for.
+MODULE_LEVELS = 64
+
+
+def nearest_ancestor(files: DataFrame, owners: DataFrame, *, fold_case: bool = False, most: int | None = None) -> DataFrame:
+    """``(path, dir, value)``: the deepest owner directory at or above each file, at most ``most`` levels up if that is given; files without one are missing.
 
     files: ``path``; owners: ``dir, value``. An as-of join on path prefixes: the ancestors are exploded and joined by equality. Of several values
     of one directory the least is taken.
     """
     key = lower_ascii if fold_case else (lambda c: c)
-    up = files.select("path").distinct().select("path", F.explode(F.slice(F.reverse(P.ancestors(F.col("path"))), 1, most)).alias("dir"))
+    above = F.reverse(P.ancestors(F.col("path")))
+    up_to = above if most is None else F.slice(above, 1, most)
+    up = files.select("path").distinct().select("path", F.explode(up_to).alias("dir"))
     own = owners.groupBy(key(F.col("dir")).alias("k")).agg(F.min("value").alias("value"), F.min("dir").alias("own_dir"))
     return up.join(own, key(F.col("dir")) == F.col("k")).groupBy("path").agg(F.max_by(F.struct("own_dir", "value"), F.length("dir")).alias("x")).select("path", F.col("x.own_dir").alias("dir"), "x.value")
 
@@ -33,7 +39,7 @@ def import_paths(packages: DataFrame, modules: DataFrame) -> DataFrame:
     packages: ``package, dir, name``; modules: ``dir, module``. main and external test packages cannot be imported.
     """
     ok = packages.where("name <> 'main' and not endswith(name, '_test')")
-    near = nearest_ancestor(ok.select(F.concat("dir", F.lit("/x")).alias("path")), modules.withColumnRenamed("module", "value")).select(F.expr("left(path, length(path) - 2)").alias("dir"), F.col("dir").alias("module_dir"), F.col("value").alias("module"))
+    near = nearest_ancestor(ok.select(F.concat("dir", F.lit("/x")).alias("path")), modules.withColumnRenamed("module", "value"), most=MODULE_LEVELS).select(F.expr("left(path, length(path) - 2)").alias("dir"), F.col("dir").alias("module_dir"), F.col("value").alias("module"))
     joined = ok.join(near, "dir", "left")
     vendored = F.regexp_extract("dir", r"(?:^|.*/)vendor/(.+)$", 1)
     rest = F.when(F.col("module_dir") == F.col("dir"), "").when(F.col("module_dir") == "", F.concat(F.lit("/"), F.col("dir"))).otherwise(F.expr("substr(dir, length(module_dir) + 1)"))

@@ -161,14 +161,14 @@ def f18_external_demotion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w8_expansion_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Calls of each file within a budget of forty candidates."""
+    """Calls of each file within the budget of 32,768 candidates."""
     costs = _anchors(spark, folder).where("name is not null").groupBy("name").agg(F.countDistinct("path", "anchor_fingerprint", "start_byte").alias("cost"))
-    return C.expansion_budget(_calls(spark, folder), costs, "path", ["site_id"], 40).select("site_id", "cost", "spent")
+    return C.expansion_budget(_calls(spark, folder), costs, "path", ["site_id"], 32_768).select("site_id", "cost", "spent")
 
 
 def w9_group_caps(spark: SparkSession, folder: str) -> DataFrame:
-    """Call sites of the files with at most thirty of them and at most forty arguments in all."""
-    return C.group_caps(_calls(spark, folder), "path", "n_args", 30, 40).select("site_id", "path")
+    """Call sites of the files with at most 20,000 of them and at most 2**29 arguments in all."""
+    return C.group_caps(_calls(spark, folder), "path", "n_args", 20_000, 2**29).select("site_id", "path")
 
 
 def w11_closest_locator(spark: SparkSession, folder: str) -> DataFrame:
@@ -184,6 +184,11 @@ def w12_primary_anchor(spark: SparkSession, folder: str) -> DataFrame:
     return _entities(spark, folder).select("entity", "id", "any_body")
 
 
+def overlay_names(anchors: DataFrame) -> DataFrame:
+    """Anchors as an overlay of every seventh file (by the length of its path) shows them: their names have changed."""
+    return anchors.withColumn("name", F.when(F.length("path") % 7 == 0, F.concat(F.lit("new_"), F.col("name"))).otherwise(F.col("name")))
+
+
 # --- candidate sets ---------------------------------------------------------------------------------------------
 def _candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates for the names of the stated anchors (ids divisible by 100) seen from the least of their files: tiers by that file's reach. Written once for a state of the tables."""
@@ -426,8 +431,8 @@ SQL = {
     "f10_arity": f"select id, case when min_arity is null then null when 2 < min_arity then false when max_arity is not null then 2 <= max_arity when \"variadic\" then true end as accepts from {LIVE_SQL}",
     "t6_arity_policy": _arity_sql(""),
     "f18_external_demotion": f"select id, case when external and role = 'definition' then 'declaration' else role end as role, has_body and not external as has_body from {LIVE_SQL}",
-    "w8_expansion_budget": f"select * from (select site_id, cost, sum(cost) over (partition by path order by site_id rows unbounded preceding)::bigint as spent from (select c.*, greatest(coalesce(k.n, 1), 1) as cost from {_C} c left join (select name, count(distinct (path, anchor_fingerprint, start_byte)) n from {_A} where name is not null group by 1) k using (name))) where spent <= 40",
-    "w9_group_caps": f"select site_id, path from {_C} where path in (select path from {_C} group by 1 having count(*) <= 30 and coalesce(sum(n_args), 0) <= 40)",
+    "w8_expansion_budget": f"select * from (select site_id, cost, sum(cost) over (partition by path order by site_id rows unbounded preceding)::bigint as spent from (select c.*, greatest(coalesce(k.n, 1), 1) as cost from {_C} c left join (select name, count(distinct (path, anchor_fingerprint, start_byte)) n from {_A} where name is not null group by 1) k using (name))) where spent <= 32768",
+    "w9_group_caps": f"select site_id, path from {_C} where path in (select path from {_C} group by 1 having count(*) <= 20000 and coalesce(sum(n_args), 0) <= 536870912)",
     "w11_closest_locator": f"select query_id, id, d as distance from (select q.id as query_id, a.id, abs(a.start_byte - q.start_byte - 10) as d, row_number() over (partition by q.id order by abs(a.start_byte - q.start_byte - 10), a.id) r from {LIVE_SQL} q join {LIVE_SQL} a on a.path = q.path and a.canonical_signature = q.canonical_signature where q.id % 100 = 0) where r = 1",
     "w12_primary_anchor": f"select entity, id, any_body from {_E}",
     "a7_groups": f"select query, id, group_key, position, group_tier, authoritative, group_size from {_GROUPED}",

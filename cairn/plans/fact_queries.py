@@ -348,11 +348,12 @@ def p13_possible_targets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p17_resolved_handles(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidates looked up again by handle: those whose identity is still that of the handle; every third handle is stale."""
+    """Candidates looked up again by handle: those whose identity is still that of the handle; the handles of names that an overlay has renamed since are stale."""
     a = live_anchors(spark, folder)
     d = P.digest(F.lower("entity_key"), F.col("name"))
-    handles = a.where("id % 10 = 0").select("id", F.when(F.col("id") % 3 == 0, "stale").otherwise(d).alias("digest"))
-    return handles.join(a.select("id", d.alias("digest"), "presentation_signature"), ["id", "digest"]).select("id", "presentation_signature")
+    handles = a.select("id", d.alias("digest"))
+    now = CQ.overlay_names(a)
+    return handles.join(now.select("id", d.alias("digest"), "presentation_signature"), ["id", "digest"]).select("id", "presentation_signature")
 
 
 def p19_type_candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -392,5 +393,5 @@ SQL = {
     "q_p5_completion": f"with r as ({CQ.SQL['x11_final_rank']}), m as (select *, {NQ._sql_score(chr(39) + 're' + chr(39), 'name')} as s from {CQ._MERGED}) select row_number() over (order by case when lower(name) = 're' then 2 when starts_with(lower(name), 're') then 1 else 0 end desc, final_rank desc, {_SRC} desc, match_score desc, length(name), name) as position, name, final_rank from m join r using (name) where s >= 650 order by position limit 100",
     "q_p10_signature_help": f"select site_id, n, id, presentation_signature from (select c.site_id, a.id, a.presentation_signature, row_number() over (partition by c.site_id order by case c.compatibility when 'compatible' then 0 when 'unknown' then 1 else 2 end, a.path, a.start_byte, a.id) as n from ({CQ.SQL['q_p18_callable_candidates']}) c join {LIVE_SQL} a using (id)) where n <= 10",
     "q_p13_possible_targets": f"select query, id, tier, group_tier = max(group_tier) over (partition by query) as focused, position from {CQ._GROUPED}",
-    "q_p17_resolved_handles": f"select id, presentation_signature from {LIVE_SQL} where id % 10 = 0 and id % 3 <> 0",
+    "q_p17_resolved_handles": f"select id, presentation_signature from {LIVE_SQL} where name is null or path is null or length(path) % 7 <> 0",
 }

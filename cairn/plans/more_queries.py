@@ -23,7 +23,7 @@ from cairn.streaming import generations as G
 def s4_external_modules(spark: SparkSession, folder: str) -> DataFrame:
     """Go files below each module root, roots over a cap left out whole."""
     e = VQ._entries(spark, folder).where("lower(extension) = 'go'").withColumn("root", F.split("path", "/")[0])
-    return FL.capped_roots(e, 400, 15_000).select("root", "path")
+    return FL.capped_roots(e).select("root", "path")
 
 
 def s10_proto_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,7 +159,7 @@ QUERIES |= {"q_" + f.__name__: f for f in (p1_symbols, p4_calls, p7_include_comp
 
 _DEF = f"(select * from {LIVE_SQL} where kind = 'function' and role = 'definition' and revision_id in (select revision_id from {FQ._TEXTS}))"
 SQL = {
-    "s4_external_modules": f"with e as (select *, split_part(path, '/', 1) as root from {VQ._ENTRIES} where lower(extension) = 'go') select root, path from e where root in (select root from e group by 1 having count(*) <= 400 and coalesce(sum(size), 0) <= 15000)",
+    "s4_external_modules": f"with e as (select *, split_part(path, '/', 1) as root from {VQ._ENTRIES} where lower(extension) = 'go') select root, path from e where root in (select root from e group by 1 having count(*) <= 20000 and coalesce(sum(size), 0) <= 536870912)",
     "s13_staged_rows": f"select generation, count(*) as n from {SITES_SQL} where generation in (1, 2, 3) group by 1",
     "j23_scope_tiers": f"select query, id, tier from {CQ._CAND}",
     "w5_degrees": f"select id, degree from {CQ._PAIRS} where degree > 0",

@@ -45,7 +45,7 @@ def s1_scan(spark: SparkSession, folder: str) -> DataFrame:
 def s3_capped_roots(spark: SparkSession, folder: str) -> DataFrame:
     """Files of the external roots within both caps; a root over one is left out whole."""
     e = _entries(spark, folder).withColumn("root", F.array_join(F.slice(F.split("path", "/"), 1, 2), "/"))
-    return FL.capped_roots(e, 40, 60_000).select("root", "path")
+    return FL.capped_roots(e).select("root", "path")
 
 
 def s5_scope(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,9 +121,11 @@ def j19_overlay(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j24_merged_roots(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 200 symbols over the lists of all roots, by name and id."""
-    a = live_anchors(spark, folder).where("name is not null")
-    return a.select("name", "id").orderBy("name", "id").limit(200)
+    """The lists of the first 200 symbols of each root, by name and id, merged into one list of 200: a symbol of several roots once, from the first root."""
+    a = live_anchors(spark, folder).where("name is not null and path is not null").select(F.split("path", "/")[0].alias("root"), "name", "id", "qualified_name")
+    per = a.withColumn("r", F.row_number().over(Window.partitionBy("root").orderBy("name", "id"))).where("r <= 200")
+    merged = per.groupBy("name", "qualified_name").agg(F.min(F.struct("root", "id")).alias("x"), F.count("*").alias("n"))
+    return merged.select("name", "x.root", "x.id", "n").orderBy("name", "id").limit(200)
 
 
 def u2_unreferenced(spark: SparkSession, folder: str) -> DataFrame:
@@ -323,7 +325,7 @@ QUERIES = {
 
 SQL = {
     "s1_scan": f"select path from {FILES_SQL} where {_SCOPED} and not (lower(path) = 'harborlight/pkg' or starts_with(lower(path), 'harborlight/pkg/'))",
-    "s3_capped_roots": f"with e as (select *, array_to_string(string_split(path, '/')[1:2], '/') as root from {_ENTRIES}) select root, path from e where root in (select root from e group by 1 having count(*) <= 40 and coalesce(sum(size), 0) <= 60000)",
+    "s3_capped_roots": f"with e as (select *, array_to_string(string_split(path, '/')[1:2], '/') as root from {_ENTRIES}) select root, path from e where root in (select root from e group by 1 having count(*) <= 20000 and coalesce(sum(size), 0) <= 536870912)",
     "s5_scope": f"select path, {_EXT.format('path')} in ('c', 'go') and (starts_with(lower(path), 'harborlight/') or starts_with(lower(path), 'tinderlane/')) and not starts_with(lower(path), 'harborlight/net/') and not regexp_matches(lower(path), '(^|/)(\\.git|\\.vscode|node_modules|target|out|build)/') as in_scope from {FILES_SQL}",
     "s7_language": f"select path, case when regexp_matches(path, '^harborlight/net/[^/]*\\.go$') then 'go' when starts_with(path, 'harborlight/') then 'c' when ends_with(path, '.h') then 'cpp' when {_EXT.format('path')} in ('cc', 'cpp', 'cxx', 'hh', 'hpp', 'hxx', 'inl') then 'cpp' when {_EXT.format('path')} = 'go' then 'go' else 'c' end as language from {FILES_SQL}",
     "s8_to_parse": "with m as (select max(delivery_no) m from file_entries) select distinct id, path from file_entries e, m where e.delivery_no = m.m and not exists (select 1 from file_entries s, m where s.delivery_no < m.m and s.mtime_ns <> 0 and s.path = e.path and s.size = e.size and s.mtime_ns = e.mtime_ns and s.extension = e.extension)",
@@ -335,7 +337,7 @@ SQL = {
     "u1_union_all": f"with e as {_ENTRIES} select id, size from e where id % 3 <> 0 union all select id, size + 1 from e where id % 5 = 0",
     "j7_obsolete": f"select distinct id as revision_id from file_revisions where id not in (select revision_id from {_LAST}) and file_id % 10 <> 0 and id % 50 <> 0",
     "j19_overlay": f"select id, path, case when length(path) % 7 = 0 then 'new_' || name else name end as name from {LIVE_SQL} where path is not null",
-    "j24_merged_roots": f"select name, id from {LIVE_SQL} where name is not null order by name, id limit 200",
+    "j24_merged_roots": f"select name, root, id, n from (select name, qualified_name, arg_min(id, row(root, id)) as id, min(root) as root, count(*) as n from (select split_part(path, '/', 1) as root, name, qualified_name, id, row_number() over (partition by split_part(path, '/', 1) order by name, id) r from {LIVE_SQL} where name is not null and path is not null) where r <= 200 group by 1, 2) order by name, id limit 200",
     "u2_unreferenced": f"select distinct callee_name as text from {SITES_SQL} where callee_name is not null and callee_name not in (select name from {LIVE_SQL} where name is not null) and callee_name not in (select qualified_name from {LIVE_SQL} where qualified_name is not null)",
     "u3_missing": "select distinct path from file_entries where delivery_no = 1 and path not in (select path from file_entries where delivery_no = 2 and path is not null)",
     "a1_counts": f"select count(*) as declarations, count(*) filter (where external) as external, (select count(distinct id) from file_revisions) as revisions from {LIVE_SQL}",

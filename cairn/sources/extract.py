@@ -182,7 +182,7 @@ class CFamily:
                 if d and not (header == d[1] and not d[3]):
                     at = t.start + t.text.index(d[1])
                     place = Token("id", d[1], at)
-                    self.facts.append(Fact("declaration", name=d[1], kind="macro", role="definition", signature=d[1] + (d[2] or ""), detail=d[3][:200] or None, guard=self._join(stack), **self._at(place)))
+                    self.facts.append(Fact("declaration", name=d[1], kind="macro", role="definition", signature=d[1] + (d[2] or ""), detail=d[3] or None, guard=self._join(stack), **self._at(place)))
             elif word in ("if", "ifdef", "ifndef"):
                 text = rest if word == "if" else f"defined({rest})" if word == "ifdef" else f"!defined({rest})"
                 if word == "ifndef" and not stack and header is None:

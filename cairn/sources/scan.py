@@ -63,13 +63,13 @@ def discover(spark: SparkSession, root: str, config: WorkspaceConfig | None = No
     return found.where(keep).withColumn("ext", P.extension(F.col("path"))).withColumn("language", P.language_for(F.col("path"), config.language_overrides))
 
 
-def read_texts(spark: SparkSession, root: str, config: WorkspaceConfig | None = None, most_bytes: int = 16 * 2**20) -> DataFrame:
-    """``(path, text)`` of the files of a tree in scope, whole; larger ones than ``most_bytes`` have a null text."""
+def read_texts(spark: SparkSession, root: str, config: WorkspaceConfig | None = None, most_proto_bytes: int = 16 * 2**20) -> DataFrame:
+    """``(path, text)`` of the files of a tree in scope, whole; only larger protocol definitions than ``most_proto_bytes`` have a null text."""
     config = config or WorkspaceConfig()
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     rel = P.relative_slash_path(F.regexp_extract("path", "^(?:[a-z]+:/*)?(/.*)$", 1), F.lit(base))
-    text = F.when(F.col("length") <= most_bytes, F.decode("content", "UTF-8"))
+    text = F.when((P.extension(F.col("path")) != "proto") | (F.col("length") <= most_proto_bytes), F.decode("content", "UTF-8"))
     keep = P.in_scope(F.col("rel"), config.include, config.exclude, config.extensions, config.excluded_dirs)
     return raw.withColumn("rel", rel).where(F.col("rel").isNotNull() & keep).select(F.col("rel").alias("path"), text.alias("text"))
 
