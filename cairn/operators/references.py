@@ -18,29 +18,28 @@ def _utf16(c: Column) -> Column:
     return (F.length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
-def occurrences(texts: DataFrame, names: Sequence[str], *, text: str, path: str, limit: int) -> DataFrame:
+def occurrences(texts: DataFrame, roles: DataFrame, names: Sequence[str], *, text: str, path: str, limit: int) -> DataFrame:
     """``(name, path, line, col, role, position)``: whole-word occurrences of the stated names, the first ``limit`` of each by role, path, line and column.
 
-    The texts are split into lines once and each line is tested for each name; columns count UTF-16 units; the role is read off the text around. Null texts have none.
+    The texts are split into lines once and each line is tested for each name; columns count UTF-16 units. roles: ``path, name, line, col, role``, the
+    classified identifiers; an occurrence that is none (in a comment or a literal) is a read. The join neither adds nor moves hits. Null texts have none.
     """
     lines = texts.where(F.col(text).isNotNull() & F.col(path).isNotNull()).select(F.col(path).alias("path"), F.posexplode(F.split(text, "\n")).alias("line", "s"))
-    some = lines.where(F.col("s").rlike(r"\b(" + "|".join(names) + r")\b"))
+    some = lines.where(F.col("s").rlike(whole_word(names)))
     each = some.withColumn("name", F.explode(F.array(*[F.lit(n) for n in names])))
     parts = F.split(F.col("s"), F.concat(F.lit(r"\b"), F.col("name"), F.lit(r"\b")), -1)
     hits = each.withColumn("p", parts).where(F.size("p") > 1)
-    k = F.sequence(F.lit(1), F.size("p") - 1)
-    hits = hits.withColumn("k", F.explode(k))
-    before, after = F.element_at("p", F.col("k")), F.element_at("p", F.col("k") + 1)
+    hits = hits.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("p") - 1)))
     col = F.aggregate(F.expr("slice(p, 1, k)"), F.lit(0), lambda a, x: a + _utf16(x)) + (F.col("k") - 1) * F.length("name")
-    role = (
-        F.when(before.rlike(r"(struct|union|class|enum|typename|type)\s+$"), "type_use")
-        .when(after.rlike(r"^\s*\("), "call")
-        .when(after.rlike(r"^\s*([-+*/|&^%]?=[^=]|\+\+|--|:=)"), "write")
-        .otherwise("read")
-    )
-    found = hits.select("name", "path", F.col("line").cast("long").alias("line"), col.cast("long").alias("col"), role.alias("role"))
+    hits = hits.select("name", "path", F.col("line").cast("long").alias("line"), col.cast("long").alias("col"))
+    found = hits.join(roles.select("path", "name", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"), "role").distinct(), ["path", "name", "line", "col"], "left").withColumn("role", F.coalesce("role", F.lit("read")))
     rank = F.coalesce(*[F.when(F.col("role") == r, i) for r, i in ROLE_RANK.items()])
-    return top_per_key(found, "name", [rank, F.col("path"), F.col("line"), F.col("col")], limit)
+    return top_per_key(found.select("name", "path", "line", "col", "role"), "name", [rank, F.col("path"), F.col("line"), F.col("col")], limit)
+
+
+def whole_word(names: Sequence[str]) -> str:
+    """Regular expression of the stated names as whole words."""
+    return r"\b(" + "|".join(names) + r")\b"
 
 
 def relative_tokens(tokens: DataFrame, group: str, order: list[str]) -> DataFrame:

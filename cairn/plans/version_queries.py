@@ -15,6 +15,7 @@ from cairn.operators import packages, references, snapshots
 from cairn.operators import versions as V
 from cairn.plans import callable_queries as CQ
 from cairn.plans.base import FILES_SQL, LIVE_SQL, SITES_SQL, files, live_anchors, sites
+from cairn.sources import extract as X
 
 
 def _entries(spark: SparkSession, folder: str) -> DataFrame:
@@ -260,8 +261,12 @@ def f17_rescue_suppression(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_references(spark: SparkSession, folder: str) -> DataFrame:
-    """Occurrences of stated names in all texts with place and role, in the order of role, path, line and column; the first 2000 of each."""
-    return references.occurrences(table(spark, folder, "source_texts"), ("log_line", "reset", "slot", "run"), text="text", path="path", limit=2000)
+    """Occurrences of stated names in all texts with place and syntactic role, in the order of role, path, line and column; the first 2000 of each."""
+    names = ("log_line", "reset", "slot", "run")
+    texts = table(spark, folder, "source_texts").where("text is not null and path is not null")
+    held = texts.where(F.col("text").rlike(references.whole_word(names)))
+    facts = X.parse_files(held, file_id="revision_id", path="path", text="text", wanted=frozenset(["occurrence"])).where(F.col("name").isin(*names))
+    return references.occurrences(texts, facts.select("path", "name", F.col("start_line").alias("line"), F.col("start_character").alias("col"), "role"), names, text="text", path="path", limit=2000)
 
 
 def t7_reference_order(spark: SparkSession, folder: str) -> DataFrame:
@@ -307,12 +312,17 @@ _DIR = "regexp_replace({0}, '/?[^/]*$', '')"
 _ACCEPTS = "(select user_id, event_type, coalesce(nullif(substr(lower(regexp_replace(coalesce(props, ''), '[^A-Za-z0-9_]', '', 'g')), 1, 2), ''), 'none') as bucket from events)"
 _MARKED = f"(select lower(dir) as dir, array_to_string(list_sort(list(distinct lower(m))), ',') as markers, count(distinct lower(m)) as n_markers from (select distinct dir, unnest(case length(dir) % 3 when 0 then ['makefile', 'cmakelists.txt'] when 1 then ['go.mod', 'cmakelists.txt'] else ['cmakelists.txt'] end) m from (select distinct {_DIR.format('path')} dir from {FILES_SQL} where source = 'workspace')) group by 1)"
 _CHANGE = f"case when lower(path) = 'cairn.json' then 'full' when lower(regexp_extract(path, '([^/]*)$', 1)) in ('go.mod', 'go.work') then 'full' when lower(regexp_extract(path, '([^/]*)$', 1)) in ('makefile', 'gnumakefile', 'cmakelists.txt', 'build.ninja', 'meson.build', 'build', 'build.bazel', 'workspace', 'workspace.bazel') then 'project' when {_SCOPED} then case when status = 'error' then 'delete' else 'upsert' end else 'ignored' end"
-_REFS = r"""(with l as (select path, unnest(generate_series(0, len(ls) - 1)) as line, unnest(ls) as s from (select path, string_split(text, chr(10)) ls from source_texts where text is not null and path is not null)),
+#: A text with its comments and literals blanked, every place kept.
+_BLANKED = r"""array_to_string(list_transform(regexp_extract_all(text, '/\*(?:[^*]|\*+[^*/])*\*+/|//[^\n]*|"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)+''|[^/"'']+|[\s\S]'), lambda x: case when regexp_matches(x, '^(/\*|//|"|''.)') then regexp_replace(x, '[^\n]', ' ', 'g') else x end), '')"""
+_REFS = rf"""(with l as (select path, unnest(generate_series(0, len(ls) - 1)) as line, unnest(ls) as s, unnest(ms) as m from (select path, string_split(text, chr(10)) ls, string_split({_BLANKED}, chr(10)) ms from source_texts where text is not null and path is not null)),
  n as (select * from (values ('log_line'), ('reset'), ('slot'), ('run')) n(name)),
- h as (select n.name, l.path, l.line, l.s, string_split_regex(l.s, '\b' || n.name || '\b') p from l join n on regexp_matches(l.s, '\b' || n.name || '\b')),
- o as (select name, path, line, s, k, list_sum(list_transform(p[1:k], lambda x: length(x) + length(regexp_replace(x, '[^\x{10000}-\x{10FFFF}]', '', 'g')))) + (k - 1) * length(name) as col, p[k] as before, p[k + 1] as after from h, unnest(generate_series(1, len(p) - 1)) as t(k))
- select name, path, line, col::bigint as col, case when regexp_matches(before, '(struct|union|class|enum|typename|type)\s+$') then 'type_use' when regexp_matches(after, '^\s*\(') then 'call' when regexp_matches(after, '^\s*([-+*/|&^%]?=[^=]|\+\+|--|:=)') then 'write' else 'read' end as role from o)"""
-_REFS_RANKED = f"(select * from (select *, row_number() over (partition by name order by case role when 'call' then 2 when 'write' then 3 when 'type_use' then 4 else 5 end, path, line, col) as position from {_REFS}) where position <= 2000)"
+ h as (select n.name, l.path, l.line, l.m, string_split_regex(l.s, '\b' || n.name || '\b') p from l join n on regexp_matches(l.s, '\b' || n.name || '\b')),
+ o as (select name, path, line, m, list_sum(list_transform(p[1:k], lambda x: length(x) + length(regexp_replace(x, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))) + (k - 1) * length(name) as col, (list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * length(name))::bigint as at_ from h, unnest(generate_series(1, len(p) - 1)) as t(k)),
+ q as (select *, substr(m, 1, at_) as before, substr(m, at_ + 1, length(name)) as here, substr(m, at_ + length(name) + 1) as after from o)
+ select name, path, line, col::bigint as col, case when here <> name then 'read' when regexp_matches(before, '(struct|union|class|enum|typename|type)\s+$') then case when regexp_matches(after, '^\s*(\{{|struct|interface)') then 'definition' else 'type_use' end
+  when regexp_matches(after, '^\s*\(') then case when ends_with(path, '.go') and regexp_matches(before, '^func\s*(\([^)]*\)\s*)?$') then 'definition' when not ends_with(path, '.go') and regexp_matches(before, '^([A-Za-z_][\w:<>]*[\s*&]+)*(\w+::)*$') then case when regexp_matches(after, ';\s*$') then 'declaration' else 'definition' end else 'call' end
+  when regexp_matches(after, '^\s*([-+*/|&^%]?=[^=]|\+\+|--)') then 'write' when not ends_with(path, '.go') and regexp_matches(after, '^\s+[A-Za-z_]') then 'type_use' else 'read' end as role from q)"""
+_REFS_RANKED = f"(select * from (select *, row_number() over (partition by name order by case role when 'definition' then 0 when 'declaration' then 1 when 'call' then 2 when 'write' then 3 when 'type_use' then 4 else 5 end, path, line, col) as position from {_REFS}) where position <= 2000)"
 
 QUERIES = {
     f.__name__: f

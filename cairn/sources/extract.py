@@ -641,28 +641,41 @@ def fallback(text: str, go: bool) -> list[Fact]:
     return out
 
 
-def occurrences(text: str, go: bool) -> list[Fact]:
-    """Every identifier outside of comments and literals with its syntactic role: call, write, type_use, definition, declaration or read."""
+def occurrences(text: str, go: bool, known: list[Fact] = ()) -> list[Fact]:
+    """Every identifier outside of comments and literals with its syntactic role: definition, declaration, call, write, type_use or read.
+
+    What the facts of the file say about a place goes first: the names of callables, enumerators, objects, fields, parameters and variables; the
+    other roles follow from the tokens around.
+    """
     ts = tokens(text, go)
     places, out = Places(text), []
+    roles: dict[int, str] = {}
+    for f in known:
+        if f.fact == "callable" or f.fact == "declaration" and f.kind in ("object", "enum_constant"):
+            roles[f.start_byte] = f.role if f.fact == "callable" or go else "definition" if f.kind == "enum_constant" else "declaration"
+        elif f.fact == "local" or f.fact == "member" and f.kind == "field":
+            roles[f.start_byte] = "declaration"
     for i, t in enumerate(ts):
         if t.kind != "id" or t.text in (GO_KEYWORDS if go else C_KEYWORDS):
             continue
         after, before = (ts[i + 1].text if i + 1 < len(ts) else ""), (ts[i - 1] if i else None)
-        if after == "(":
+        at = places.byte(t.start)
+        if at in roles:
+            role = roles[at]
+        elif after == "(":
             role = "definition" if (go and before and (before.text in ("func", ")")) and _heads(ts, i)) else "call"
         elif before and before.text in ("struct", "union", "class", "enum", "typename", "type"):
             role = "definition" if after in ("{", "struct", "interface") else "type_use"
         elif after in (":=",) or (before and before.kind == "id" and before.text in ("var", "const") and go):
             role = "declaration"
-        elif after in ("=", "+=", "-=", "*=", "/=", "|=", "&=", "^=", "%=", "++", "--"):
+        elif after in ("=", "+=", "-=", "*=", "/=", "|=", "&=", "^=", "%=", "++", "--", "<<=", ">>="):
             role = "declaration" if before and (before.kind == "id" and before.text not in ("return", "else") or before.text in ("*", "&") and i > 1 and ts[i - 2].text in C_TYPES) and not go else "write"
         elif i + 1 < len(ts) and ts[i + 1].kind == "id" and ts[i + 1].text not in C_KEYWORDS and not go:
             role = "type_use"
         else:
             role = "read"
         line, col = places.line_col(t.start)
-        out.append(Fact("occurrence", name=t.text, role=role, start_byte=places.byte(t.start), end_byte=places.byte(t.end), start_line=line, start_character=col))
+        out.append(Fact("occurrence", name=t.text, role=role, start_byte=at, end_byte=places.byte(t.end), start_line=line, start_character=col))
     return out
 
 
@@ -681,16 +694,17 @@ def facts_of(path: str | None, text: str | None, wanted: frozenset[str] | None =
         return []
     ext = path.rsplit(".", 1)[-1].lower()
     go = ext == "go"
-    found: list[Fact] = []
-    if wanted is None or wanted - {"occurrence"}:
-        try:
-            found = (GoFile(text, path) if go else CFamily(text, path, ext not in ("c", "h"))).run()
-        except (IndexError, StopIteration, ValueError, RecursionError):
-            found = []
-        if not any(f.fact == "declaration" for f in found) and text.strip():
-            found += fallback(text, go)
+    parser = GoFile(text, path) if go else CFamily(text, path, ext not in ("c", "h"))
+    try:
+        parser.run()
+    except (IndexError, StopIteration, ValueError, RecursionError) as e:
+        # What was found before stays; the file is counted as failed.
+        parser.facts.append(Fact("failure", name=type(e).__name__, detail=str(e) or None))
+    found = parser.facts
     if wanted is not None and "occurrence" in wanted:
-        found += occurrences(text, go)
+        found = found + occurrences(text, go, found)
+    if (wanted is None or "fallback" in wanted) and text.strip() and not any(f.fact == "declaration" for f in found):
+        found = found + fallback(text, go)
     return found if wanted is None else [f for f in found if f.fact in wanted]
 
 
