@@ -11,12 +11,13 @@ from cairn.functions import cursor as U
 from cairn.functions import names as N
 from cairn.functions import paths as P
 from cairn.functions import ranking as R
+from cairn.operators import bindings as B
 from cairn.operators import candidates as K
 from cairn.operators import members as M
 from cairn.operators import proto, references
 from cairn.plans import callable_queries as CQ
 from cairn.plans import name_queries as NQ
-from cairn.plans.base import LIVE_SQL, SITES_SQL, live_anchors, sites
+from cairn.plans.base import ANCHORS_SQL, LIVE_SQL, SITES_SQL, anchors, live_anchors, sites
 from cairn.sources import extract as X
 
 
@@ -66,11 +67,19 @@ def e6_type_aliases(spark: SparkSession, folder: str) -> DataFrame:
     return _facts(spark, folder, "type_alias").select("file_id", "name", "kind", "detail")
 
 
+def indexed_callables(spark: SparkSession, folder: str) -> DataFrame:
+    """All functions and methods found in the texts of which the index has any, as long as the text neither breaks off nor holds remains of a merge."""
+    indexed = anchors(spark, folder).where("kind = 'function' and revision_id is not null").select("revision_id").distinct()
+    t = _texts(spark, folder).where(~F.col("text").rlike(r"(?m)^(<{7}|={7}|>{7})") & F.col("text").rlike(r"(\}|;|#endif[^\n]*)\s*\z")).join(indexed, "revision_id", "left_semi")
+    return X.parse_files(t, file_id="revision_id", path="path", text="text", wanted=frozenset(["callable"]))
+
+
+_INDEXED = f"(select distinct revision_id as file_id, name, start_byte, owner, owner_kind, qualified_name, signature, canonical_signature, linkage_kind, min_arity, max_arity, \"variadic\", role from {ANCHORS_SQL} where kind = 'function' and revision_id in (select revision_id from {_TEXTS} where not regexp_matches(text, '(?m)^(<{{7}}|={{7}}|>{{7}})') and regexp_matches(text, '(\\}}|;|#endif[^\\n]*)\\s*\\z')))"
+
+
 def e7_callables(spark: SparkSession, folder: str) -> DataFrame:
-    """Functions and methods of the texts, as far as the index has anchors at their names."""
-    a = live_anchors(spark, folder).where("kind = 'function' and revision_id is not null").select(F.col("revision_id").alias("file_id"), "name", "start_byte")
-    own = ["file_id", "name", "start_byte", F.when(F.col("owner_kind") == "record", F.col("owner")).alias("owner"), "qualified_name", "canonical_signature", "linkage_kind", "min_arity"]
-    return _facts(spark, folder, "callable").join(a, ["file_id", "name", "start_byte"], "left_semi").select(*own)
+    """Functions and methods of the indexed texts."""
+    return indexed_callables(spark, folder).select("file_id", "name", "start_byte", F.when(F.col("owner_kind") == "record", F.col("owner")).alias("owner"), "qualified_name", "canonical_signature", "linkage_kind", "min_arity")
 
 
 def e7_calls(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,14 +97,25 @@ def e9_locals(spark: SparkSession, folder: str) -> DataFrame:
     return _facts(spark, folder, "local").select("file_id", "caller", "name", "kind", "start_line", "body_start_line", "body_end_line")
 
 
+_FUNCTION = ["file_id", "caller"]
+
+
+def _bindings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Bindings of all functions, and the calls in them as cursors."""
+    f = materialize(_facts(spark, folder, "local", "call").where("caller is not null").select("fact", *_FUNCTION, "name", "kind", "start_byte", "fn_start", "fn_end", "scope_start", "scope_end"), "bindings")
+    return f.where("fact = 'local'").withColumnRenamed("start_byte", "decl_byte"), f.where("fact = 'call'").select(*_FUNCTION, "name", F.col("start_byte").alias("at"))
+
+
 def f14_visible_locals(spark: SparkSession, folder: str) -> DataFrame:
-    """Bindings that can be seen from the last line of their function."""
-    return e9_locals(spark, folder).where("body_start_line is not null and start_line < body_end_line").select("file_id", "caller", "name", "start_line").distinct()
+    """Bindings that can be seen from the place of each call."""
+    return B.visible_bindings(*_bindings(spark, folder), _FUNCTION).select(*_FUNCTION, "at", "name", "decl_byte")
 
 
 def w7_nearest_binding(spark: SparkSession, folder: str) -> DataFrame:
-    """The binding of each name that is declared last in its function."""
-    return e9_locals(spark, folder).where("body_start_line is not null").groupBy("file_id", "caller", "name").agg(F.max("start_line").alias("start_line"))
+    """For each call and each name in sight there, the binding that the name means."""
+    local, calls = _bindings(spark, folder)
+    seen = B.visible_bindings(local, calls, _FUNCTION)
+    return B.nearest_binding(local, seen.select(*_FUNCTION, "at", "name"), _FUNCTION)
 
 
 def e10_packages(spark: SparkSession, folder: str) -> DataFrame:
@@ -374,10 +394,34 @@ QUERIES = {
 }
 QUERIES |= {"q_" + f.__name__: f for f in (p2_definitions, p5_completion, p6_member_completion, p9_hover, p10_signature_help, p11_document_symbols, p12_semantic_tokens, p13_possible_targets, p17_resolved_handles, p19_type_candidates)}
 
+# Fixed values of the SQL: comments and literals, keywords, and how members stand in the texts.
+_NOISE = r"""/\*(?:[^*]|\*+[^*/])*\*+/|//[^\n]*|"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''"""
+_WORDS_OF = "list_distinct(list_filter(regexp_extract_all({0}, '[\\p{{L}}_][\\p{{L}}\\p{{N}}_]*'), lambda w: regexp_matches(w, '^[A-Za-z_][A-Za-z0-9_]*$') and not list_contains([{1}], w)))"
+_quoted = lambda words: ", ".join(f"'{w}'" for w in sorted(words))
+_LINES_SQL = rf"(select s.id, s.line, s.col, rtrim(ls[s.line + 1], chr(13)) as text from (select id, path, callee_range.start_line as line, callee_range.start_character as col from {SITES_SQL}) s join (select path, string_split(text, chr(10)) ls from {_TEXTS}) t using (path) where s.line < len(ls))"
+_BODIES = rf"(select revision_id as file_id, path, text, regexp_extract(rec, '^(?:type |struct |class )(\w+)', 1) as owner, regexp_extract(rec, '^(?:type \w+ )?(struct|class)', 1) as tag, rec from (select revision_id, path, text, unnest(regexp_extract_all(text, '(?m)^(?:type \w+ struct|struct \w+|class \w+)[ \t]*\{{[^}}]*\}}')) as rec from {_TEXTS}) where starts_with(rec, 'type ') = ends_with(path, '.go'))"
+_MEMBERS = rf"""(select file_id, path, owner, name, kind, signature, start_byte, type_name from (
+ select file_id, path, owner, regexp_extract(l, case when ends_with(path, '.go') then '^[ \t]+(\w+)' else '^[ \t]+\w+ (\w+)' end, 1) as name, 'field' as kind, null::varchar as signature, regexp_extract(l, case when ends_with(path, '.go') then '^[ \t]+\w+ (\w+)' else '^[ \t]+(\w+)' end, 1) as type_name, strlen(substr(text, 1, strpos(text, rec) - 1)) + strlen(substr(rec, 1, strpos(rec, l) - 1)) + strlen(regexp_extract(l, case when ends_with(path, '.go') then '^[ \t]+' else '^[ \t]+\w+ ' end)) as start_byte
+ from (select *, unnest(regexp_extract_all(rec, '(?m)^[ \t]+(?:\w+ \w+(?: = \d+)?;|\w+ \w+\r?$)')) as l from {_BODIES})))"""
+_METHODS = rf"""(select * from (
+ select revision_id as file_id, path, regexp_extract(h, '^func \(\w+ \*?(\w+)\)', 1) as owner, regexp_extract(h, '\) (\w+)\($', 1) as name, null::varchar as detail, h, text from (select revision_id, path, unnest(regexp_extract_all(text, '(?m)^func \(\w+ \*?\w+\) \w+\(')) as h, text from {_TEXTS} where ends_with(path, '.go'))
+ union all select revision_id, path, regexp_extract(h, '(\w+)::\w+\($', 1), regexp_extract(h, '::(\w+)\($', 1), nullif(trim(regexp_replace(regexp_extract(h, '^([\s\S]*?)\w+::\w+\($', 1), '\s+', ' ', 'g')), ''), h, text from (select revision_id, path, text, unnest(regexp_extract_all(text, '(?m)^(?:[A-Za-z_][\w ]*[ *&\r\n]+)?\w+::\w+\(')) as h from {_TEXTS} where not ends_with(path, '.go'))))"""
+def _intent_sql() -> str:
+    """The rules of the intent at a cursor, in their order."""
+    typeish = lambda w: f"(regexp_matches({w}, '^[A-Z]') or {w} in ({_quoted(U.TYPEISH)}) or ends_with({w}, '_t'))"
+    return rf"""select id, split_part(x, ' ', 1) as intent, split_part(x, ' ', 2) as confidence from (select id, case when directive in ('if', 'ifdef', 'ifndef', 'elif', 'define') then 'macro_preprocessor high' when starts_with(ltrim(after), '(') then 'call_target high'
+ when token in ({_quoted(U.TYPE_CUES)}) then 'type_name high' when token in ('*', '&', '**', '&&') and earlier <> '' and {typeish('earlier')} then 'declaration_name medium' when token in ({_quoted(U.EXPRESSION_CUES)}) then 'expression_value medium'
+ when token <> '' and {typeish("trim(token, '*&')")} then 'declaration_name medium' else 'neutral low' end as x
+ from (select *, case when regexp_matches(bare, '[\w*&]$') then regexp_extract(bare, '[\w*&]+$') else right(bare, 1) end as token, regexp_extract(bare, '(\w+)\s*[*&]+$', 1) as earlier
+ from (select id, substr(text, col + 1) as after, regexp_extract(substr(text, 1, col), '^\s*#\s*(\w+)', 1) as directive, regexp_replace(regexp_replace(substr(text, 1, col), '[A-Za-z0-9_]*$', ''), '\s+$', '') as bare from {_LINES_SQL})))"""
+
+
+_ALL_MEMBERS = f"(select file_id, path, owner, name, kind, start_byte from {_MEMBERS} union all select file_id, path, owner, name, 'method', strlen(substr(text, 1, strpos(text, h) - 1)) + strlen(h) - strlen(name) - 1 from {_METHODS})"
+_FALLBACK = f"(select *, row_number() over (order by tier desc, freq desc, (kind <> 'method')::int, name) as position from (select lower(name) as lower_name, kind, count(*) as freq, max(case when starts_with(path, '/') then 2 else 0 end) as tier, arg_min(name, row(case when starts_with(path, '/') then -2 else 0 end, name)) as name from {_ALL_MEMBERS} group by 1, 2))"
 _SRC = CQ._SP
 SQL = {
     "e1_includes": f"select revision_id as file_id, trim(unnest(regexp_extract_all(text, '(?m)^[ \\t]*#[ \\t]*include[ \\t]*([^\\r\\n]*)', 1))) as name from {_TEXTS} where not ends_with(path, '.go')",
-    "e7_callables": f"select distinct revision_id as file_id, name, start_byte, owner, qualified_name, canonical_signature, linkage_kind, min_arity from {LIVE_SQL} where kind = 'function' and revision_id in (select revision_id from {_TEXTS})",
+    "e7_callables": f"select file_id, name, start_byte, owner, qualified_name, canonical_signature, linkage_kind, min_arity from {_INDEXED}",
     "e10_packages": f"select revision_id as file_id, regexp_extract(text, '(?m)^package[ \\t]+(\\w+)', 1) as name from {_TEXTS} where ends_with(path, '.go') and regexp_matches(text, '(?m)^package[ \\t]+\\w+')",
     "e10_imports": f"select revision_id as file_id, unnest(regexp_extract_all(text, '(?m)^\\t\"([^\"\\n]*)\"', 1)) as name from {_TEXTS} where ends_with(path, '.go')",
     "x20_byte_offsets": f"select s.id, case when s.line >= len(ls) then strlen(text) else coalesce(list_sum(list_transform(ls[1:s.line], lambda x: strlen(x) + 1)), 0) + strlen(substr(ls[s.line + 1] || case when s.line + 1 < len(ls) then chr(10) else '' end, 1, s.col)) end::bigint as \"offset\" from (select id, path, callee_range.start_line as line, callee_range.start_character as col from {SITES_SQL}) s join (select path, text, string_split(text, chr(10)) ls from {_TEXTS}) t using (path)",
@@ -394,4 +438,16 @@ SQL = {
     "q_p10_signature_help": f"select site_id, n, id, presentation_signature from (select c.site_id, a.id, a.presentation_signature, row_number() over (partition by c.site_id order by case c.compatibility when 'compatible' then 0 when 'unknown' then 1 else 2 end, a.path, a.start_byte, a.id) as n from ({CQ.SQL['q_p18_callable_candidates']}) c join {LIVE_SQL} a using (id)) where n <= 10",
     "q_p13_possible_targets": f"select query, id, tier, group_tier = max(group_tier) over (partition by query) as focused, position from {CQ._GROUPED}",
     "q_p17_resolved_handles": f"select id, presentation_signature from {LIVE_SQL} where name is null or path is null or length(path) % 7 <> 0",
+    "e4_macros": f"select revision_id as file_id, regexp_extract(d, 'define[ \\t]+(\\w+)', 1) as name from (select revision_id, unnest(regexp_extract_all(text, '(?m)^[ \\t]*#[ \\t]*define[ \\t]+\\w+[ \\t]+[^\\s/][^\\n]*')) as d from {_TEXTS} where not ends_with(path, '.go'))",
+    "e4_objects": f"select revision_id as file_id, regexp_extract(d, '(\\w+)$', 1) as name, 'definition' as role, 'package' as linkage_kind, regexp_extract(d, '(const|var) ', 1) as detail from (select revision_id, unnest(regexp_extract_all(text, '(?m)^(?:static )?(?:const|var) \\w+')) as d from {_TEXTS} where ends_with(path, '.go'))",
+    "x18_words": r"select id, nullif(case when regexp_matches(b || a, '^[0-9]') then '' else b || a end, '') as word, nullif(case when regexp_matches(b, '^[0-9]') then '' else b end, '') as prefix from (select id, regexp_extract(substr(text, 1, col), '[A-Za-z0-9_]*$') as b, regexp_extract(substr(text, col + 1), '^[A-Za-z0-9_]*') as a from " + _LINES_SQL + ")",
+    "x21_words": f"select revision_id, unnest(case when ends_with(lower(path), '.go') then {_WORDS_OF.format('go', _quoted(X.GO_KEYWORDS))} else {_WORDS_OF.format('c', _quoted(X.C_KEYWORDS))} end) as word from (select *, regexp_replace(regexp_replace(text, '(?m)^[ \\t]*#[^\\n]*', ' ', 'g'), '{_NOISE}|/\\*[\\s\\S]*|\\b[0-9][0-9A-Za-z_.]*', ' ', 'g') as c, regexp_replace(text, '{_NOISE}|`[^`]*`|/\\*[\\s\\S]*|\\b[0-9][0-9A-Za-z_.]*', ' ', 'g') as go from {_TEXTS})",
+    "x24_parameters": f"select id, (n - 1)::int as n, trim(ps[n]) as parameter from (select id, ps, unnest(generate_series(1, len(ps))) as n from (select id, list_filter(string_split(regexp_extract(canonical_signature, '\\(([^)]*)\\)', 1), ','), lambda x: trim(x) <> '') ps from {LIVE_SQL} where canonical_signature is not null))",
+    "e12_recovered": rf"select revision_id, length(text)::int as n_chars, coalesce(list_sum(list_transform(list_concat(regexp_extract_all(text, '__attribute__\s*\(\((?:[^()]|\([^()]*\))*\)\)|__declspec\s*\([^()]*\)|\b(?:alignas|_Alignas)\s*\([^()]*\)'), regexp_extract_all(text, '\b([A-Z][A-Z0-9_]*_(?:API|EXPORT))\s+\w', 1)), lambda x: length(regexp_replace(x, '[ \n]', '', 'g')))), 0)::int as n_blanked from {_TEXTS}",
+    "q_p19_type_candidates": f"select owner, tag, count(*) as n_records, coalesce(sum(n), 0)::bigint as n_members from (select distinct file_id, owner, tag from {_BODIES}) left join (select file_id, owner, count(distinct name) as n from (select file_id, owner, name from {_MEMBERS} union all select file_id, owner, name from {_METHODS}) group by 1, 2) using (file_id, owner) group by 1, 2",
+    "x17_intents": _intent_sql(),
+    "j5_members": f"select file_id, name, kind from {_ALL_MEMBERS} where (file_id, owner) in (select (file_id, owner) from {_BODIES} where lower(owner) = 'slot')",
+    "t11_member_order": f"select position, path, name, total > 50 as truncated from (select path, name, row_number() over (order by path, start_byte, name, kind) as position, count(*) over () as total from {_ALL_MEMBERS}) where position <= 50",
+    "a11_fallback_members": f"select lower_name, kind, freq, position, (select count(*) > 40 from {_FALLBACK}) as truncated from {_FALLBACK} where position <= 40",
+    "e5_members": f"select file_id, owner, name, kind, type_name as detail from {_MEMBERS} union all select file_id, owner, name, 'method', detail from {_METHODS}",
 }

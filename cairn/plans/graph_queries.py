@@ -263,6 +263,12 @@ QUERIES = {
 }
 
 SQL = {
+    "g2_package_reach": f"""with recursive pe as materialized (select * from {_PEDGES}), mem as materialized (select distinct package, path from {_GO}), o as (select distinct package as origin from mem where path in (select path from source_texts where file_id % 100 = 0)),
+ s(round, origin, node, weak, depth) as (select 0, origin, origin, false, 0 from o
+  union all
+  select * from (with n as (select s.round, s.origin, pe.dst as node, min((s.weak or pe.resolution <> 'exact')::int) = 1 as weak from s join pe on pe.src = s.node where s.depth = s.round and s.round < 32 and not exists (select 1 from s k where k.origin = s.origin and k.node = pe.dst) group by 1, 2, 3)
+   select round + 1, origin, node, weak, depth from s where exists (select 1 from n) union all select round + 1, origin, node, weak, round + 1 from n))
+ select s.origin, m.path, bool_and(s.weak) as is_heuristic from s join mem m on m.package = s.node where round = (select max(round) from s) group by 1, 2""",
     "j10_include_resolution": f"select src, target_text, status, kind, dst, n_candidates from {_RESOLVED}",
     "j11_include_edges": f"select * from {_EDGES}",
     "j2_edge_paths": f"with ids as (select path, min(file_id) file_id from source_texts where path is not null group by 1) select s.file_id as src_id, d.file_id as dst_id, resolution from {_EDGES} e join ids s on s.path = e.src join ids d on d.path = e.dst",

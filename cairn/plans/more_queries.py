@@ -60,15 +60,13 @@ def x10_scope_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def x25_signature_shapes(spark: SparkSession, folder: str) -> DataFrame:
-    """Arity of the function definitions, read from the texts."""
-    a = live_anchors(spark, folder).where("kind = 'function' and role = 'definition'").select(F.col("revision_id").alias("file_id"), "name", "start_byte")
-    return FQ._facts(spark, folder, "callable").join(a, ["file_id", "name", "start_byte"], "left_semi").select("file_id", "name", "start_byte", "signature", "min_arity", "max_arity", "variadic")
+    """Arity of all function definitions of the indexed texts of the workspace (external ones count as declarations)."""
+    return FQ.indexed_callables(spark, folder).where("role = 'definition' and not startswith(path, '/')").select("file_id", "name", "start_byte", "signature", "min_arity", "max_arity", "variadic")
 
 
 def x26_canonical_signatures(spark: SparkSession, folder: str) -> DataFrame:
-    """Canonical signatures of the function definitions by number of bearers."""
-    a = live_anchors(spark, folder).where("kind = 'function' and role = 'definition'").select(F.col("revision_id").alias("file_id"), "name", "start_byte")
-    return FQ._facts(spark, folder, "callable").join(a, ["file_id", "name", "start_byte"], "left_semi").groupBy("canonical_signature").agg(F.count("*").alias("n"))
+    """Canonical signatures of all function definitions of the indexed texts of the workspace by number of bearers."""
+    return FQ.indexed_callables(spark, folder).where("role = 'definition' and not startswith(path, '/')").groupBy("canonical_signature").agg(F.count("*").alias("n"))
 
 
 def x32_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,15 +155,15 @@ def r9_live_overlay(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (s4_external_modules, s10_proto_scan, s13_staged_rows, j23_scope_tiers, w5_degrees, t12_fallback_order, x10_scope_labels, x25_signature_shapes, x26_canonical_signatures, x32_labels, x34_builtins, e2_visited_files, r3_debounced, r6_pinned_read, r7_committed, r9_live_overlay)}
 QUERIES |= {"q_" + f.__name__: f for f in (p1_symbols, p4_calls, p7_include_completion, p16_index_report)}
 
-_DEF = f"(select * from {LIVE_SQL} where kind = 'function' and role = 'definition' and revision_id in (select revision_id from {FQ._TEXTS}))"
 SQL = {
+    "t12_fallback_order": f"select position, lower_name, kind from {FQ._FALLBACK} where position <= 40",
     "s4_external_modules": f"with e as (select *, split_part(path, '/', 1) as root from {VQ._ENTRIES} where lower(extension) = 'go') select root, path from e where root in (select root from e group by 1 having count(*) <= 20000 and coalesce(sum(size), 0) <= 536870912)",
     "s13_staged_rows": f"select generation, count(*) as n from {SITES_SQL} where generation in (1, 2, 3) group by 1",
     "j23_scope_tiers": f"select query, id, tier from {CQ._CAND}",
     "w5_degrees": f"select id, degree from {CQ._PAIRS} where degree > 0",
     "x10_scope_labels": f"select distinct tier, confidence, label from ({CQ.SQL['x8_confidence']})",
-    "x25_signature_shapes": f"select distinct revision_id as file_id, name, start_byte, signature, min_arity, max_arity, \"variadic\" from {_DEF}",
-    "x26_canonical_signatures": f"select canonical_signature, count(*) as n from (select distinct revision_id, name, start_byte, canonical_signature from {_DEF}) group by 1",
+    "x25_signature_shapes": f"select file_id, name, start_byte, signature, min_arity, max_arity, \"variadic\" from {FQ._INDEXED} where role = 'definition'",
+    "x26_canonical_signatures": f"select canonical_signature, count(*) as n from {FQ._INDEXED} where role = 'definition' group by 1",
     "x32_labels": f"select distinct tier as value, case tier when 'current' then 'current_visible' when 'reachable' then 'reachable' when 'external' then 'external_first_layer' when 'unknown' then 'uncertain' else 'workspace_fallback' end as label from {CQ._CAND} union all select distinct evidence || ':' || degree, case when evidence = 'ambiguous' then 'ambiguous:' || degree else evidence end from {CQ._PAIRS}",
     "x34_builtins": f"select id, lower(name) as low, hex(substr(name, 1, 2)) as hexed, name as back, length(name) as size, coalesce(owner, name) as owner_or_name from {LIVE_SQL} where name is not null",
     "q_p1_symbols": f"select position, id, packed from (select id, packed, row_number() over (order by {NQ._ORDER}) as position from {NQ._GATED} where needle = 'scan_re') where position <= 200",

@@ -18,7 +18,7 @@ from cairn.sources.lexer import C_KEYWORDS, C_TYPES, GO_KEYWORDS, Places, Token,
 
 SCHEMA = (
     "fact string, name string, kind string, role string, owner string, owner_kind string, qualified_name string, signature string, canonical_signature string, linkage_kind string, min_arity int, max_arity int, "
-    "variadic boolean, start_byte bigint, end_byte bigint, start_line int, start_character int, decl_start_line int, body_start_line int, body_end_line int, guard string, form string, n_args int, caller string, detail string, provenance string"
+    "variadic boolean, start_byte bigint, end_byte bigint, start_line int, start_character int, decl_start_line int, body_start_line int, body_end_line int, guard string, form string, n_args int, caller string, detail string, fn_start bigint, fn_end bigint, scope_start bigint, scope_end bigint, provenance string"
 )
 
 
@@ -51,6 +51,10 @@ class Fact:
     n_args: int | None = None
     caller: str | None = None
     detail: str | None = None
+    fn_start: int | None = None
+    fn_end: int | None = None
+    scope_start: int | None = None
+    scope_end: int | None = None
     provenance: str | None = "ast"
 
 
@@ -157,6 +161,11 @@ class CFamily:
     def _line(self, i: int) -> int:
         return self.places.line_col(self.ts[min(i, len(self.ts) - 1)].start)[0]
 
+    def _span(self, first: int, last: int, label: str) -> dict:
+        """Bytes from the start of one token to the end of another."""
+        ts = self.ts
+        return {f"{label}_start": self.places.byte(ts[first].start), f"{label}_end": self.places.byte(ts[min(last, len(ts) - 1)].end)}
+
     def _guard(self, t: Token) -> str | None:
         found = None
         for at, guard in self.guards:
@@ -375,15 +384,16 @@ class CFamily:
         if who:
             self.facts.append(Fact("member", kind="method", detail=" ".join(type_words) or None, **{k: fact[k] for k in ("name", "owner", "signature", "start_byte", "end_byte", "start_line", "start_character")}))
         if body is not None:
-            self._parameters(paren + 1, close, fact["qualified_name"], body)
-            self._body(body + 1, min(pair[body], len(ts)), fact["qualified_name"], body)
+            fn = self._span(first, pair[body], "fn")
+            self._parameters(paren + 1, close, fact["qualified_name"], body, fn)
+            self._body(body + 1, min(pair[body], len(ts)), fact["qualified_name"], body, fn)
 
-    def _parameters(self, a: int, b: int, caller: str, body: int) -> None:
+    def _parameters(self, a: int, b: int, caller: str, body: int, fn: dict) -> None:
         for x, y in _split(self.ts, self.pair, a, b):
             eq = next((k for k in range(x, y) if self.ts[k].text == "="), y)
             names = [t for t in self.ts[x:eq] if t.kind == "id" and t.text not in C_KEYWORDS]
             if names and (len(names) > 1 or any(t.text in C_TYPES for t in self.ts[x:eq])):
-                self.facts.append(Fact("local", name=names[-1].text, kind="parameter", caller=caller, detail=_squeezed(self.text[self.ts[x].start : names[-1].start]), body_start_line=self._line(body), body_end_line=self._line(self.pair[body]), **self._at(names[-1])))
+                self.facts.append(Fact("local", name=names[-1].text, kind="parameter", caller=caller, detail=_squeezed(self.text[self.ts[x].start : names[-1].start]), body_start_line=self._line(body), body_end_line=self._line(self.pair[body]), **fn, scope_start=fn["fn_start"], scope_end=fn["fn_end"], **self._at(names[-1])))
 
     def _objects(self, first: int, stop: int, spaces: list[str], record: str | None) -> None:
         ts, pair = self.ts, self.pair
@@ -412,25 +422,37 @@ class CFamily:
                 self._body(init + 1, b, None, None)
 
     # --- bodies: calls and local bindings -----------------------------------------------------------------------
-    def _body(self, a: int, b: int, caller: str | None, body: int | None) -> None:
-        ts = self.ts
+    def _body(self, a: int, b: int, caller: str | None, body: int | None, fn: dict | None = None) -> None:
+        ts, pair = self.ts, self.pair
         begins = True
+        scopes: list[tuple[int, int]] = [(body, pair[body])] if body is not None else []  # first and last token
         for i in range(a, b):
             t = ts[i]
+            while len(scopes) > 1 and i > scopes[-1][1]:
+                scopes.pop()
+            if t.text == "{":
+                scopes.append((i, pair[i]))
+            elif t.text == "for" and i + 1 < b and ts[i + 1].text == "(":
+                after = min(pair[i + 1] + 1, b - 1)
+                # What the head declares is seen to the end of the loop's statement.
+                stop = pair[after] if ts[after].text == "{" else next((k for k in range(after, b) if ts[k].text == ";"), b - 1)
+                scopes.append((i, stop))
             if t.text == "(" and i > a:
                 self._call(i, caller)
             if begins and caller and t.kind == "id":
-                self._local(i, b, caller, body)
+                self._local(i, b, caller, body, {**fn, **self._span(*scopes[-1], "scope")} if fn else {})
             begins = t.text in (";", "{", "}") or (t.text == "(" and i > a and ts[i - 1].text == "for")
 
-    def _local(self, i: int, b: int, caller: str, body: int | None) -> None:
+    def _local(self, i: int, b: int, caller: str, body: int | None, spans: dict) -> None:
         ts = self.ts
         j = i
         while j < b and (ts[j].kind == "id" or ts[j].text in ("*", "&", "::", "<", ">")) and ts[j].text not in ("return", "goto", "case", "else", "delete", "throw"):
             j += 1
+        if sum((t.text == "<") - (t.text == ">") for t in ts[i:j]):
+            return  # a comparison
         if j - i < 2 or ts[j - 1].kind != "id" or ts[j - 1].text in C_KEYWORDS or j >= b or ts[j].text not in ("=", ";", "[", ",", ":", "{"):
             return
-        self.facts.append(Fact("local", name=ts[j - 1].text, kind="variable", caller=caller, detail=_squeezed(self.text[ts[i].start : ts[j - 1].start]), body_start_line=self._line(body) if body is not None else None, body_end_line=self._line(self.pair[body]) if body is not None else None, **self._at(ts[j - 1])))
+        self.facts.append(Fact("local", name=ts[j - 1].text, kind="variable", caller=caller, detail=_squeezed(self.text[ts[i].start : ts[j - 1].start]), body_start_line=self._line(body) if body is not None else None, body_end_line=self._line(self.pair[body]) if body is not None else None, **spans, **self._at(ts[j - 1])))
 
     def _call(self, i: int, caller: str | None) -> None:
         ts, pair = self.ts, self.pair
@@ -487,7 +509,7 @@ class GoFile:
         self.facts: list[Fact] = []
         self.package = ""
 
-    _at, _line = CFamily._at, CFamily._line
+    _at, _line, _span = CFamily._at, CFamily._line, CFamily._span
 
     def _next_line(self, i: int) -> int:
         """The first token on a later line than token ``i``, groups skipped."""
@@ -520,7 +542,7 @@ class GoFile:
             elif w == "func":
                 i = self._func(i)
                 continue
-            elif w in ("const", "var", "type"):
+            elif w in ("const", "var", "type") and (i == 0 or ts[i - 1].text == ";" or self._line(i) > self._line(i - 1)):
                 i = self._group(i, w)
                 continue
             i += 1
@@ -608,14 +630,26 @@ class GoFile:
         self.facts.append(Fact("declaration", kind="method" if owner else "function", **fact))
         if owner:
             self.facts.append(Fact("member", name=name.text, kind="method", owner=owner, signature=fact["signature"], **self._at(name)))
+        fn = self._span(i, pair[body], "fn") if body is not None else {}
+        whole = {**fn, "scope_start": fn["fn_start"], "scope_end": fn["fn_end"]} if fn else {}
         for x, y in parts:
             if ts[x].kind == "id" and y - x > 1:
-                self.facts.append(Fact("local", name=ts[x].text, kind="parameter", caller=q, detail=_squeezed(self.text[ts[x].end : ts[y - 1].end]), body_start_line=fact["body_start_line"], body_end_line=fact["body_end_line"], **self._at(ts[x])))
+                self.facts.append(Fact("local", name=ts[x].text, kind="parameter", caller=q, detail=_squeezed(self.text[ts[x].end : ts[y - 1].end]), body_start_line=fact["body_start_line"], body_end_line=fact["body_end_line"], **whole, **self._at(ts[x])))
         if body is None:
             return stop
         end = min(pair[body], len(ts))
+        scopes = [(body, pair[body])]
         for n in range(body + 1, end):
             t = ts[n]
+            while len(scopes) > 1 and n > scopes[-1][1]:
+                scopes.pop()
+            if t.text == "{":
+                scopes.append((n, pair[n]))
+            elif t.text in ("if", "for", "switch") and t.kind == "id":
+                # What the head declares is seen to the end of its block.
+                opens = next((k for k in range(n + 1, end) if ts[k].text == "{" and ts[k - 1].text not in ("struct", "interface")), None)
+                scopes.append((n, pair[opens] if opens is not None else end))
+            spans = lambda: {**fn, **self._span(*scopes[-1], "scope")}
             if t.text == "(" and ts[n - 1].kind == "id" and ts[n - 1].text not in GO_KEYWORDS:
                 selector = ts[n - 2].text == "."
                 self.facts.append(Fact("call", name=ts[n - 1].text, form="qualified_name" if selector else "direct_name", n_args=len(_split(ts, pair, n + 1, min(pair[n], len(ts)))), caller=q, **self._at(ts[n - 1])))
@@ -623,10 +657,10 @@ class GoFile:
                 b = n - 1
                 while b > body and (ts[b].kind == "id" and ts[b].text not in GO_KEYWORDS or ts[b].text == ","):
                     if ts[b].kind == "id" and ts[b].text != "_":
-                        self.facts.append(Fact("local", name=ts[b].text, kind="variable", caller=q, body_start_line=fact["body_start_line"], body_end_line=fact["body_end_line"], **self._at(ts[b])))
+                        self.facts.append(Fact("local", name=ts[b].text, kind="variable", caller=q, body_start_line=fact["body_start_line"], body_end_line=fact["body_end_line"], **spans(), **self._at(ts[b])))
                     b -= 1
             elif t.text == "var" and n + 1 < end and ts[n + 1].kind == "id":
-                self.facts.append(Fact("local", name=ts[n + 1].text, kind="variable", caller=q, body_start_line=fact["body_start_line"], body_end_line=fact["body_end_line"], **self._at(ts[n + 1])))
+                self.facts.append(Fact("local", name=ts[n + 1].text, kind="variable", caller=q, body_start_line=fact["body_start_line"], body_end_line=fact["body_end_line"], **spans(), **self._at(ts[n + 1])))
         return end + 1
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 from typing import NamedTuple
 
 # Words that are no names.
@@ -68,13 +70,17 @@ class Places:
     def __init__(self, text: str):
         self.text, self.ascii = text, text.isascii()
         self.starts = [0, *[m.end() for m in re.finditer("\n", text)]]
+        if not self.ascii:
+            sizes = [len(text[a:b].encode("utf-8", "surrogatepass")) for a, b in zip(self.starts, [*self.starts[1:], len(text)], strict=True)]
+            self.bytes = [0, *accumulate(sizes)]  # before each line
 
     def byte(self, at: int) -> int:
-        return at if self.ascii else len(self.text[:at].encode("utf-8", "surrogatepass"))
+        if self.ascii:
+            return at
+        line = bisect_right(self.starts, at) - 1
+        return self.bytes[line] + len(self.text[self.starts[line] : at].encode("utf-8", "surrogatepass"))
 
     def line_col(self, at: int) -> tuple[int, int]:
-        from bisect import bisect_right
-
         line = bisect_right(self.starts, at) - 1
         part = self.text[self.starts[line] : at]
         return line, len(part) if self.ascii else len(part.encode("utf-16-le", "surrogatepass")) // 2
