@@ -83,6 +83,46 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
+def ignore_rules(files: Sequence[tuple[str, str]]) -> list[tuple[str, bool, bool]]:
+    """``(regular expression of paths, whether it ignores, for directories only)`` of ignore files ``(directory, text)``, those of upper directories first.
+
+    A rule without a slash, but for one at its end, holds at any depth below its file, another one only there; ``!`` takes a path in again,
+    ``#`` begins a comment, a backslash makes the next character plain, spaces at the end do not count.
+    """
+    out = []
+    for base, text in sorted(files, key=lambda f: f[0].count("/") if f[0] else -1):
+        for line in text.splitlines():
+            line = re.sub(r"(?<!\\)[ \t]+$", "", line)
+            if not line or line.startswith("#"):
+                continue
+            takes, line = (False, line[1:]) if line.startswith("!") else (True, line)
+            folder, line = line.endswith("/"), line.rstrip("/")
+            anywhere, line = "/" not in line, line.lstrip("/")
+            if not line:
+                continue
+            body = ""
+            for part in re.findall(r"\\.|/\*\*$|\*\*/|\*\*|\*|\?|\[!?\]?[^\]]*\]|.", line):
+                body += {"/**": "/.+", "**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or (("[^" + part[2:] if part[1] == "!" else part) if part[0] == "[" and len(part) > 1 else re.escape(part[-1]))
+            top = re.escape(base.strip("/") + "/") if base.strip("/") else ""
+            out.append(("^" + top + ("(?:.*/)?" if anywhere else "") + body + "$", takes, folder))
+    return out
+
+
+def ignored(path: Column, rules: Sequence[tuple[str, bool, bool]]) -> Column:
+    """Whether a path is ignored: the last rule that matches it or a directory above it decides; what is below an ignored directory stays ignored."""
+
+    def verdict(p: Column, folder: bool) -> Column:
+        out = None
+        for pattern, takes, only in reversed(list(rules)):
+            if folder or not only:
+                hit = p.rlike(pattern)
+                out = F.when(hit, takes) if out is None else out.when(hit, takes)
+        return F.lit(False) if out is None else out.otherwise(False)
+
+    above = F.filter(ancestors(path), lambda d: d != "")
+    return F.exists(above, lambda d: verdict(d, True)) | verdict(path, False)
+
+
 def language_for(path: Column, overrides: Sequence[tuple[str, str]] = ()) -> Column:
     """Language by extension, overridden by globs of which the last that matches wins."""
     ext = extension(path)

@@ -412,7 +412,7 @@ def _intent_sql() -> str:
     return rf"""select id, split_part(x, ' ', 1) as intent, split_part(x, ' ', 2) as confidence from (select id, case when directive in ('if', 'ifdef', 'ifndef', 'elif', 'define') then 'macro_preprocessor high' when starts_with(ltrim(after), '(') then 'call_target high'
  when token in ({_quoted(U.TYPE_CUES)}) then 'type_name high' when token in ('*', '&', '**', '&&') and earlier <> '' and {typeish('earlier')} then 'declaration_name medium' when token in ({_quoted(U.EXPRESSION_CUES)}) then 'expression_value medium'
  when token <> '' and {typeish("trim(token, '*&')")} then 'declaration_name medium' else 'neutral low' end as x
- from (select *, case when regexp_matches(bare, '[\w*&]$') then regexp_extract(bare, '[\w*&]+$') else right(bare, 1) end as token, regexp_extract(bare, '(\w+)\s*[*&]+$', 1) as earlier
+ from (select *, case when regexp_matches(bare, '[\p{{L}}\p{{N}}_*&]$') then regexp_extract(bare, '[\p{{L}}\p{{N}}_*&]+$') else right(bare, 1) end as token, regexp_extract(bare, '(\w+)\s*[*&]+$', 1) as earlier
  from (select id, substr(text, col + 1) as after, regexp_extract(substr(text, 1, col), '^\s*#\s*(\w+)', 1) as directive, regexp_replace(regexp_replace(substr(text, 1, col), '[A-Za-z0-9_]*$', ''), '\s+$', '') as bare from {_LINES_SQL})))"""
 
 

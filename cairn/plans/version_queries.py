@@ -39,8 +39,9 @@ def _active(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def s1_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Files in the scope of the workspace."""
-    return files(spark, folder).where(P.in_scope(F.col("path"), exclude=("harborlight/pkg",))).select("path")
+    """Files in the scope of the workspace that its ignore files (at the top, and in one repository) do not leave out."""
+    rules = P.ignore_rules([("", "# generated\ninternal/\n*_test.go\n/tinderlane/app/**/slot*.c\n"), ("wickerdb", "*.h\n!/lib/*.h\n")])
+    return files(spark, folder).where(P.in_scope(F.col("path"), exclude=("harborlight/pkg",)) & ~P.ignored(F.col("path"), rules)).select("path")
 
 
 def s3_capped_roots(spark: SparkSession, folder: str) -> DataFrame:
@@ -334,7 +335,7 @@ QUERIES = {
 } | {"q_p3_references": p3_references, "q_p15_projects": p15_projects}
 
 SQL = {
-    "s1_scan": f"select path from {FILES_SQL} where {_SCOPED} and not (lower(path) = 'harborlight/pkg' or starts_with(lower(path), 'harborlight/pkg/'))",
+    "s1_scan": f"select path from {FILES_SQL} where {_SCOPED} and not (lower(path) = 'harborlight/pkg' or starts_with(lower(path), 'harborlight/pkg/')) and not regexp_matches(path, '(^|/)internal/') and not regexp_matches(path, '_test\\.go$') and not regexp_matches(path, '^tinderlane/app/(.*/)?slot[^/]*\\.c$') and not (regexp_matches(path, '^wickerdb/.*\\.h$') and not regexp_matches(path, '^wickerdb/lib/[^/]*\\.h$'))",
     "s3_capped_roots": f"with e as (select *, array_to_string(string_split(path, '/')[1:2], '/') as root from {_ENTRIES}) select root, path from e where root in (select root from e group by 1 having count(*) <= 20000 and coalesce(sum(size), 0) <= 536870912)",
     "s5_scope": f"select path, {_EXT.format('path')} in ('c', 'go') and (starts_with(lower(path), 'harborlight/') or starts_with(lower(path), 'tinderlane/')) and not starts_with(lower(path), 'harborlight/net/') and not regexp_matches(lower(path), '(^|/)(\\.git|\\.vscode|node_modules|target|out|build)/') as in_scope from {FILES_SQL}",
     "s7_language": f"select path, case when regexp_matches(path, '^harborlight/net/[^/]*\\.go$') then 'go' when starts_with(path, 'harborlight/') then 'c' when ends_with(path, '.h') then 'cpp' when {_EXT.format('path')} in ('cc', 'cpp', 'cxx', 'hh', 'hpp', 'hxx', 'inl') then 'cpp' when {_EXT.format('path')} = 'go' then 'go' else 'c' end as language from {FILES_SQL}",

@@ -52,14 +52,33 @@ def load_config(text: str | None) -> tuple[WorkspaceConfig, list[str]]:
     return config, issues
 
 
+def tree_rules(spark: SparkSession, root: str) -> list[tuple[str, bool, bool]]:
+    """Rules of the ignore files of a tree. Spark's listing hides their names, so they are looked up in every directory that holds or leads to a file; there are few, and small ones."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rel = P.relative_slash_path(F.regexp_extract("path", "^(?:[a-z]+:/*)?(/.*)$", 1), F.lit(root))
+    dirs = raw.select(F.explode(P.ancestors(rel)).alias("dir")).distinct().collect()  # one row per directory
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
+    found = []
+    for d in sorted(r["dir"] for r in dirs if r["dir"] is not None):
+        path = jvm.org.apache.hadoop.fs.Path("/".join(x for x in (root, d, ".gitignore") if x))
+        if fs.exists(path):
+            stream = fs.open(path)
+            try:
+                found.append((d, bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")))
+            finally:
+                stream.close()
+    return P.ignore_rules(found)
+
+
 def discover(spark: SparkSession, root: str, config: WorkspaceConfig | None = None) -> DataFrame:
-    """``(path, size, mtime, ext, language)`` of the files of a tree in scope, paths relative to the root; contents are never read."""
+    """``(path, size, mtime, ext, language)`` of the files of a tree in scope, paths relative to the root, without those that the tree's ignore files leave out; no other contents are read."""
     config = config or WorkspaceConfig()
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select("path", "length", "modificationTime")
     rel = F.regexp_extract("path", "^(?:[a-z]+:/*)?(/.*)$", 1)
     found = raw.select(P.relative_slash_path(rel, F.lit(base)).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).where("path is not null")
-    keep = P.in_scope(F.col("path"), config.include, config.exclude, config.extensions, config.excluded_dirs)
+    keep = P.in_scope(F.col("path"), config.include, config.exclude, config.extensions, config.excluded_dirs) & ~P.ignored(F.col("path"), tree_rules(spark, base))
     return found.where(keep).withColumn("ext", P.extension(F.col("path"))).withColumn("language", P.language_for(F.col("path"), config.language_overrides))
 
 
@@ -70,7 +89,7 @@ def read_texts(spark: SparkSession, root: str, config: WorkspaceConfig | None =
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     rel = P.relative_slash_path(F.regexp_extract("path", "^(?:[a-z]+:/*)?(/.*)$", 1), F.lit(base))
     text = F.when((P.extension(F.col("path")) != "proto") | (F.col("length") <= most_proto_bytes), F.decode("content", "UTF-8"))
-    keep = P.in_scope(F.col("rel"), config.include, config.exclude, config.extensions, config.excluded_dirs)
+    keep = P.in_scope(F.col("rel"), config.include, config.exclude, config.extensions, config.excluded_dirs) & ~P.ignored(F.col("rel"), tree_rules(spark, base))
     return raw.withColumn("rel", rel).where(F.col("rel").isNotNull() & keep).select(F.col("rel").alias("path"), text.alias("text"))
 
 

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from cairn.functions import cursor as U
+from cairn.functions import paths as P
 from cairn.sources import extract as X
 from cairn.sources import scan
 from cairn.sources.lexer import Places, masked, tokens
@@ -223,8 +224,11 @@ def test_scan_of_a_tree(spark, tmp_path):
         (tmp_path / p).write_text(text)
     got = {r["path"]: (r["size"], r["language"]) for r in scan.discover(spark, str(tmp_path)).collect()}
     assert got == {"src/a.c": (6, "c"), "src/B.HPP": (1, "cpp"), "big.go": (100, "go")}
-    texts = {r["path"]: r["text"] for r in scan.read_texts(spark, str(tmp_path), most_bytes=50).collect()}
-    assert texts == {"src/a.c": "int a;", "src/B.HPP": "x", "big.go": None}
+    (tmp_path / "src/a.proto").write_text("package p;\n" * 10)
+    (tmp_path / "src/b.proto").write_text("package p;\n")
+    config = scan.WorkspaceConfig(extensions=["c", "go", "proto"])
+    texts = {r["path"]: r["text"] for r in scan.read_texts(spark, str(tmp_path), config, most_proto_bytes=50).collect()}
+    assert texts == {"src/a.c": "int a;", "big.go": "package x\n" * 10, "src/a.proto": None, "src/b.proto": "package p;\n"}  # only protocol definitions have a limit
     (tmp_path / "log.json").write_text("\n".join(json.dumps({"candidate": f"c{i}", "kind": "k", "accepted_at": i}) for i in range(9)))
     assert [r["candidate"] for r in scan.history(spark, str(tmp_path / "log.json"), 2).collect()] == ["c8", "c7"]
     df = spark.createDataFrame([("module ex.com/m\n", "use (\n\t./a\n\t./b/c\n)\nuse ./d\n")], "m string, w string")
@@ -271,3 +275,18 @@ def test_segments(spark, tmp_path):
     assert s.needs_compaction()
     s.compact("path")
     assert {(r["path"], r["name"]) for r in s.read("path").collect()} == {("a", "9"), ("c", "8"), ("d", "7")} and len(s.store.generations()) == 1
+
+
+def test_ignore_files_of_a_tree(spark, tmp_path):
+    """Rules at any depth and anchored ones, directories only, exceptions, and what is below an ignored directory."""
+    texts = {
+        ".gitignore": "# all of these\ngen/\n*.tmp.c\n/top.c\ndocs/**/x.c\n!keep.tmp.c\n\\!odd.c\n[ab]?.h\n", "sub/.gitignore": "/only.c\n!*.tmp.c\n*.go\n",
+        "top.c": "", "sub/top.c": "", "a.tmp.c": "", "keep.tmp.c": "", "sub/a.tmp.c": "", "gen/a.c": "", "sub/gen/keep.tmp.c": "", "docs/x.c": "", "docs/p/q/x.c": "", "!odd.c": "", "sub/only.c": "", "sub/deep/only.c": "", "sub/m.go": "", "m.go": "", "a1.h": "", "c1.h": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text or "x")
+    want = {"sub/top.c", "keep.tmp.c", "sub/a.tmp.c", "sub/deep/only.c", "m.go", "c1.h"}
+    assert {r["path"] for r in scan.discover(spark, str(tmp_path)).collect()} == want
+    assert {r["path"] for r in scan.read_texts(spark, str(tmp_path)).collect()} == want
+    assert P.ignore_rules([("", "")]) == []
