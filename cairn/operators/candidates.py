@@ -97,8 +97,8 @@ def best_per_name(rows: DataFrame, name: str, rank: list[Column], order: list[Co
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    """Evidence of one name from several sources as one row per ``name``.
+def merged(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Evidence of one name from several sources as one row per ``name``, and per request where ``keys`` name it.
 
     rows: ``name, source, tier, confidence, score, match_score, proximity, project, kind, role, seq``. The winner (by source, tier, confidence, project
     score, role, score, and the earliest) gives source and role; the other fields are maxima of their own; the sources are gathered.
@@ -108,10 +108,10 @@ def merged(rows: DataFrame) -> DataFrame:
         R.lookup(F.col("role"), R.ROLE_PRIORITY, 0).alias("r"), F.col("score").alias("x"), (-F.col("seq")).alias("o"),
     )
     best = lambda c, values: F.max_by(c, R.lookup(F.col(c), values))
-    return rows.groupBy("name").agg(
+    return rows.groupBy(*(keys or []), "name").agg(
         F.max_by(F.struct("source", "role", "kind"), rank).alias("w"),
         F.max_by("tier", N.tier_rank(F.col("tier"))).alias("tier"),
         best("confidence", R.CONFIDENCE_RANK).alias("confidence"),
         *[F.max(c).alias(c) for c in ("score", "match_score", "proximity", "project")],
         F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"),
-    ).select("name", F.col("w.source").alias("source"), F.col("w.role").alias("role"), F.col("w.kind").alias("kind"), "tier", "confidence", "score", "match_score", "proximity", "project", "sources")
+    ).select(*(keys or []), "name", F.col("w.source").alias("source"), F.col("w.role").alias("role"), F.col("w.kind").alias("kind"), "tier", "confidence", "score", "match_score", "proximity", "project", "sources")

@@ -15,7 +15,7 @@ from cairn.functions.ranking import ROLE_PRIORITY, lookup
 def first_by_name(rows: DataFrame, wanted: DataFrame, limit: int, also: list[str] | None = None) -> DataFrame:
     """The first ``limit`` rows by id of each wanted name, with ``truncated`` if there are more. A wanted name without rows has none."""
     keys = ["name", *(also or [])]
-    found = rows.join(F.broadcast(wanted.distinct()), keys, "left_semi")  # the stated names of a look-up
+    found = rows.join(wanted.distinct(), keys, "left_semi")
     w = Window.partitionBy(*keys).orderBy("id")
     probed = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit + 1)  # kept per group before the shuffle
     more = Window.partitionBy(*keys)
@@ -38,6 +38,17 @@ def by_trigrams(names: DataFrame, needles: DataFrame) -> DataFrame:
     return hits.where(F.instr(low("name"), low("needle")) > 0).select("needle", "name")
 
 
+def by_word_start(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(prefix, name, score)``: the names in which a prefix of one or two characters begins a word, and what the match is worth. An equi-join on the first two characters of every word of the names; the match is verified."""
+    low = N.lower_ascii(F.col("name"))
+    starts = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: N.starts_word(F.col("name"), i))
+    words = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(F.substr(low, i, F.lit(1)), F.substr(low, i, F.lit(2))))))
+    index = names.where(F.length("name") > 0).select("name", F.explode(words).alias("token"))
+    wanted = asked.where(F.length("prefix").between(1, 2)).select("prefix", N.lower_ascii(F.col("prefix")).alias("token")).distinct()
+    hits = index.join(wanted, "token").select("prefix", "name", N.match_score(F.col("prefix"), F.col("name")).alias("score"))
+    return hits.where(F.col("score").isNotNull() & N.passes_short_gate(F.col("prefix"), F.col("score")))
+
+
 def by_suffix(asked: DataFrame, paths: DataFrame) -> DataFrame:
     """``(rel, path)``: the paths that are ``rel`` or end with it behind a slash, by an equi-join on all suffixes of whole segments."""
     parts = F.split("path", "/")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.common import kept
+from cairn.common import kept, table
 from cairn.functions import names as N
 from cairn.functions import ranking as R
 from cairn.operators import callables as C
 from cairn.operators import candidates as K
+from cairn.operators import search
 from cairn.plans import graph_queries as GQ
+from cairn.plans import name_queries as NQ
 from cairn.plans.base import LIVE_SQL, SITES_SQL, live_anchors, sites
+from cairn.sources.lexer import C_KEYWORDS, GO_KEYWORDS
 
 
 def _family(path):
@@ -304,43 +307,88 @@ def a9_best_per_name(spark: SparkSession, folder: str) -> DataFrame:
     return K.best_per_name(c, "query", [N.tier_rank(F.col("tier")), R.lookup(F.col("fidelity"), K.FIDELITY_RANK, 0)], [F.col("id")]).select("query", "id", "tier")
 
 
+def requests(spark: SparkSession, folder: str) -> DataFrame:
+    """``(current, cursor, prefix)``: completions asked for in the stated files (file ids divisible by 100), at half of their calls, after two letters of the name used last."""
+    stated = table(spark, folder, "source_texts").where("file_id % 100 = 0 and path is not null").select("path").distinct()
+    return _usage(spark, folder).join(stated, "path", "left_semi").groupBy(F.col("path").alias("current")).agg(F.max("cursor").alias("cursor"), F.substring(F.max_by("name", "nearest"), 1, 2).alias("prefix"))
+
+
+_KEYWORDS = sorted(f"{family} {w}" for family, words in (("go", GO_KEYWORDS), ("c_family", C_KEYWORDS)) for w in words)
+
+
 def _evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """Evidence for completion: anchors as indexed names, callees as words of the files that call them."""
-    a = live_anchors(spark, folder).where("name is not null")
-    tier = F.when(F.col("external"), "external").when(F.col("id") % 7 == 0, "current").otherwise("global")
+    """Evidence for each request: indexed names with the tier of its reach, those of the open file as its overlay, words used before the cursor, keywords of the language. Written once for a state of the tables."""
+    return kept(spark, folder, GQ.GRAPH_TABLES, "evidence", lambda: _gathered_evidence(spark, folder))
+
+
+def _gathered_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    asked = requests(spark, folder)
+    a = live_anchors(spark, folder).where("name is not null and path is not null")
+    a = a.join(search.by_word_start(a.select("name").distinct(), asked), "name").join(asked, "prefix")
+    a = K.with_tiers(a, *GQ.reach_of(spark, folder, asked.select(F.col("current").alias("origin"))))
     kind = F.when(F.col("kind") == "function_like_macro", "macro").otherwise("function")
-    ind = a.select("name", F.when(F.col("id") % 11 == 0, "overlay").otherwise("indexed").alias("source"), tier.alias("tier"), F.when(F.col("external"), "heuristic").otherwise("fallback").alias("confidence"), (F.col("id") % 900).cast("int").alias("score"), kind.alias("kind"), "role", F.col("id").alias("seq"))
-    s = sites(spark, folder).where("callee_name is not null").select(F.col("callee_name").alias("name"), F.lit("word").alias("source"), F.lit("global").alias("tier"), F.lit("fallback").alias("confidence"), (F.col("id") % 700).cast("int").alias("score"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("role"), (F.col("id") + 10**9).alias("seq"))
-    e = ind.unionByName(s)
-    return e.withColumn("match_score", F.col("score")).withColumn("proximity", (F.col("seq") % 201).cast("int")).withColumn("project", F.when(F.col("seq") % 13 == 0, 350).otherwise(0))
+    exact = N.lower_ascii(F.col("name")) == N.lower_ascii(F.col("prefix"))
+    near = F.split("path", "/")[0] == F.split("current", "/")[0]
+    ind = a.select(
+        "current", "name", F.when(F.col("path") == F.col("current"), "overlay").otherwise("indexed").alias("source"), "tier", R.confidence_for(F.col("tier"), exact, F.col("open_reason")).alias("confidence"), F.col("score").cast("int").alias("score"),
+        F.lit(0).alias("proximity"), F.when(near, R.PROJECT_MOST).otherwise(0).alias("project"), kind.alias("kind"), "role", F.col("id").alias("seq"),
+    )
+    plain = [F.lit("global").alias("tier"), F.lit("fallback").alias("confidence")]
+    none = F.lit(None).cast("string").alias("role")
+    used = _usage(spark, folder).drop("cursor").join(asked, F.col("path") == F.col("current")).withColumn("score", N.word_score(F.col("prefix"), F.col("name"), F.lit(0))).where("score is not null")
+    words = used.select("current", "name", F.lit("word").alias("source"), *plain, F.col("score").cast("int").alias("score"), R.proximity(F.col("cursor") - F.col("nearest"), F.col("uses")).alias("proximity"), F.lit(0).alias("project"), F.lit("text").alias("kind"), none, (F.col("nearest") + 10**9).alias("seq"))
+    known = asked.withColumn("word", F.explode(F.array(*[F.lit(w) for w in _KEYWORDS]))).where(F.split("word", " ")[0] == _family(F.col("current"))).withColumn("name", F.split("word", " ")[1])
+    known = known.withColumn("score", N.match_score(F.col("prefix"), F.col("name"))).where(F.col("score").isNotNull() & N.passes_short_gate(F.col("prefix"), F.col("score")))
+    builtin = known.select("current", "name", F.lit("builtin").alias("source"), *plain, F.col("score").cast("int").alias("score"), F.lit(0).alias("proximity"), F.lit(0).alias("project"), F.lit("keyword").alias("kind"), none, F.lit(2 * 10**9).cast("bigint").alias("seq"))
+    return ind.unionByName(words).unionByName(builtin).withColumn("match_score", F.col("score"))
+
+
+def _history(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """Rows with ``accepts``: how often something of the name's prefix bucket was accepted before."""
+    log = table(spark, folder, "events").groupBy(N.prefix_bucket(F.coalesce("props", F.lit(""))).alias("bucket")).agg(F.count("*").alias("accepts"))
+    return rows.withColumn("bucket", N.prefix_bucket(F.col("name"))).join(log, "bucket", "left").drop("bucket").withColumn("accepts", F.coalesce("accepts", F.lit(0)))
 
 
-_EVIDENCE = f"""(select *, score as match_score, (seq % 201)::int as proximity, case when seq % 13 = 0 then 350 else 0 end as project from (
- select name, case when id % 11 = 0 then 'overlay' else 'indexed' end as source, case when external then 'external' when id % 7 = 0 then 'current' else 'global' end as tier, case when external then 'heuristic' else 'fallback' end as confidence, (id % 900)::int as score, case when kind = 'function_like_macro' then 'macro' else 'function' end as kind, role, id as seq from {LIVE_SQL} where name is not null
- union all select callee_name, 'word', 'global', 'fallback', (id % 700)::int, 'text', null, id + 1000000000 from {SITES_SQL} where callee_name is not null))"""
+_USAGE = f"(select s.path, s.name, count(*) as uses, max(s.at) as nearest, max(c.cursor) as cursor from (select path, callee_name as name, callee_range.start_byte as at from {SITES_SQL} where callee_name is not null) s join (select path, max(callee_range.start_byte) // 2 as cursor from {SITES_SQL} where callee_name is not null group by 1) c using (path) where s.at + strlen(s.name) <= c.cursor group by 1, 2)"
+_REQUESTS = f"(select path as current, max(cursor) as cursor, substr(arg_max(name, nearest), 1, 2) as prefix from {_USAGE} where path in (select path from source_texts where file_id % 100 = 0) group by 1)"
+_GATE = "(strlen(prefix) >= 3 or score >= 650)"
+_ASKED_NAMES = f"(select * from (select a.*, r.current, r.prefix, {NQ._sql_score('r.prefix', 'a.name')} as score from {LIVE_SQL} a, {_REQUESTS} r where a.name is not null and a.path is not null) where score is not null and {_GATE})"
+_WORDSCORE = f"case when lower(name) = lower(prefix) then 700 when starts_with(lower(name), lower(prefix)) then 550 when instr(lower(name), lower(prefix)) > 0 and (strlen(prefix) >= 3 or {NQ._sql_boundary('name', 'instr(lower(name), lower(prefix))')}) then 250 end"
+_PROXIMITY = "least(200, case when cursor - nearest <= 32 then 120 when cursor - nearest <= 128 then 90 when cursor - nearest <= 512 then 60 when cursor - nearest <= 2048 then 30 else 10 end + 20 * least(uses - 1, 4))::int"
+_EVIDENCE = f"""(select *, score as match_score from (select current, name, case when path = current then 'overlay' else 'indexed' end as source, tier,
+  case when tier = 'current' and lower(name) = lower(prefix) then 'exact' when tier in ('current', 'reachable') then 'reachable' when tier = 'external' then 'heuristic' when tier = 'unknown' and open_reason = 'ambiguous_include' then 'ambiguous' else 'fallback' end as confidence,
+  score::int as score, 0 as proximity, case when split_part(path, '/', 1) = split_part(current, '/', 1) then 350 else 0 end as project, case when kind = 'function_like_macro' then 'macro' else 'function' end as kind, role, id as seq from {tiered_sql(_ASKED_NAMES)}
+ union all select current, name, 'word', 'global', 'fallback', score::int, {_PROXIMITY}, 0, 'text', null, nearest + 1000000000 from (select r.current, r.prefix, u.*, {_WORDSCORE} as score from {_USAGE} u join {_REQUESTS} r on r.current = u.path) where score is not null
+ union all select current, name, 'builtin', 'global', 'fallback', score::int, 0, 0, 'keyword', null, 2000000000 from (select current, prefix, name, {NQ._sql_score('prefix', 'name')} as score from (select r.current, r.prefix, split_part(w, ' ', 2) as name from {_REQUESTS} r, (select unnest([{", ".join(f"'{w}'" for w in _KEYWORDS)}]) as w) where split_part(w, ' ', 1) = {_FAMILY.replace('path', 'r.current')})) where score is not null and {_GATE}))"""
 _SP = "case source when 'local' then 5 when 'overlay' then 4 when 'indexed' then 3 when 'builtin' then 2 when 'word' then 1 else 0 end"
 _TR = "case tier when 'current' then 4 when 'reachable' then 3 when 'external' then 2 when 'unknown' then 1 else 0 end"
 _CR = "case confidence when 'exact' then 4 when 'reachable' then 3 when 'heuristic' then 2 when 'ambiguous' then 1 else 0 end"
 _RP = "case role when 'declaration' then 4 when 'tentative' then 3 when 'definition' then 2 when 'unknown' then 1 else 0 end"
-_MERGED = f"""(select name, arg_max(source, r) as source, arg_max(coalesce(role, ''), r) as role, arg_max(kind, r) as kind, arg_max(tier, {_TR}) as tier, arg_max(confidence, {_CR}) as confidence, max(score) as score, max(match_score) as match_score, max(proximity) as proximity, max(project) as project,
- array_to_string(list_sort(list(distinct source)), ',') as sources from (select *, -row_number() over (partition by name order by {_SP} desc, {_TR} desc, {_CR} desc, project desc, {_RP} desc, score desc, seq) as r from {_EVIDENCE}) group by name)"""
+_MERGED = f"""(select current, name, arg_max(source, r) as source, arg_max(coalesce(role, ''), r) as role, arg_max(kind, r) as kind, arg_max(tier, {_TR}) as tier, arg_max(confidence, {_CR}) as confidence, max(score) as score, max(match_score) as match_score, max(proximity) as proximity, max(project) as project,
+ array_to_string(list_sort(list(distinct source)), ',') as sources from (select *, -row_number() over (partition by current, name order by {_SP} desc, {_TR} desc, {_CR} desc, project desc, {_RP} desc, score desc, seq) as r from {_EVIDENCE}) group by current, name)"""
+_BUCKET = "coalesce(nullif(substr(lower(regexp_replace({0}, '[^A-Za-z0-9_]', '', 'g')), 1, 2), ''), 'none')"
+_ACCEPTED = f"(select m.*, coalesce(h.n, 0) as accepts from {_MERGED} m left join (select {_BUCKET.format(chr(99) + 'oalesce(props, ' + chr(39) * 2 + ')')} as bucket, count(*) as n from events group by 1) h on h.bucket = {_BUCKET.format('m.name')})"
 
 
 def a10_merged_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence of each name from all sources."""
-    return K.merged(_evidence(spark, folder)).withColumn("role", F.coalesce("role", F.lit("")))
+    return K.merged(_evidence(spark, folder), ["current"]).withColumn("role", F.coalesce("role", F.lit("")))
 
 
 def x11_final_rank(spark: SparkSession, folder: str) -> DataFrame:
-    """Final rank of each merged name, low-trust ones capped."""
-    m = K.merged(_evidence(spark, folder))
+    """Final rank of each name of each request, low-trust ones capped."""
+    return ranked_evidence(spark, folder).select("current", "name", "final_rank", "low_trust")
+
+
+def ranked_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Merged evidence with its final rank."""
+    m = _history(spark, folder, K.merged(_evidence(spark, folder), ["current"]))
     intent = R.intent_adjustment(F.lit("call_target"), F.lit("medium"), F.col("kind"), F.col("source"), F.col("tier"))
-    history = R.history_boost(F.length("name") % 9)
-    rank = R.final_rank(F.col("source"), F.col("tier"), F.col("confidence"), F.col("match_score"), F.col("proximity"), F.col("project"), intent, history)
+    rank = R.final_rank(F.col("source"), F.col("tier"), F.col("confidence"), F.col("match_score"), F.col("proximity"), F.col("project"), intent, R.history_boost(F.col("accepts")))
     strong = F.col("sources").rlike("local|overlay")
     low = R.low_trust(F.col("tier"), F.col("confidence"), strong, F.col("sources").contains("word"))
     cap = R.LOW_TRUST_CAP + R.clamp(F.col("project"), R.PROJECT_MOST)
-    return m.select("name", F.when(low, F.least(rank, cap)).otherwise(rank).cast("int").alias("final_rank"), low.alias("low_trust"))
+    return m.withColumn("low_trust", low).withColumn("final_rank", F.when(low, F.least(rank, cap)).otherwise(rank).cast("int"))
 
 
 def x12_intent_matrix(spark: SparkSession, folder: str) -> DataFrame:
@@ -375,7 +423,6 @@ def p18_callable_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return C.arity_policy(fit, "site_id", F.col("n_args")).select("site_id", "id", "compatibility", "outcome")
 
 
-_USAGE = f"(select s.path, s.name, count(*) as uses, max(s.at) as nearest, max(c.cursor) as cursor from (select path, callee_name as name, callee_range.start_byte as at from {SITES_SQL} where callee_name is not null) s join (select path, max(callee_range.start_byte) // 2 as cursor from {SITES_SQL} where callee_name is not null group by 1) c using (path) where s.at + strlen(s.name) <= c.cursor group by 1, 2)"
 _DEFBASE = "case role when 'definition' then 1000 when 'tentative' then 750 when 'declaration' then 500 else 0 end + case when kind in ('function', 'method') and regexp_matches(lower(path), '[^/]\\.(c|cc|cpp|cxx)$') then 100 else 0 end - case when coalesce(trim(guard), '') <> '' then 1 else 0 end"
 _LOCAL = "10 * least(10, coalesce(list_position(list_transform(range(1, greatest(len(string_split(path, '/')), len(string_split(current, '/'))) + 1), lambda i: coalesce(string_split(path, '/')[i] = string_split(current, '/')[i], false)), false) - 1, len(string_split(path, '/'))))"
 _SRC, _HDR = "regexp_matches(lower(path), '[^/]\\.(c|cc|cpp|cxx)$')", "regexp_matches(lower(path), '[^/]\\.(h|hh|hpp|hxx|inl)$')"
@@ -448,10 +495,10 @@ SQL = {
     "f13_intent_gate": f"select kind, intent, case intent when 'neutral' then true when 'call' then kind in ('function', 'method') when 'type' then kind in ('type', 'alias') else kind in ('object', 'enum_constant', 'macro', 'function', 'method') end as accepts from (select distinct kind from {LIVE_SQL}), (values ('call'), ('type'), ('value'), ('neutral')) i(intent)",
     "a9_best_per_name": f"select query, id, tier from (select *, row_number() over (partition by query order by tier_rank desc, case fidelity when 'authoritative' then 2 when 'partial' then 1 else 0 end desc, id) r from {_CAND}) where r = 1",
     "a10_merged_evidence": f"select * from {_MERGED}",
-    "x11_final_rank": f"""select name, (case when low_trust then least(rank, 8000 + least(greatest(project, 0), 350)) else rank end)::int as final_rank, low_trust from (select *,
+    "x11_final_rank": f"""select current, name, (case when low_trust then least(rank, 8000 + least(greatest(project, 0), 350)) else rank end)::int as final_rank, low_trust from (select *,
  case source when 'local' then 12000 when 'overlay' then 9000 when 'indexed' then 5000 when 'builtin' then 2000 when 'word' then 0 else -1000 end + case tier when 'current' then 6000 when 'reachable' then 4800 when 'external' then 4200 when 'unknown' then 3200 else 2400 end + case confidence when 'exact' then 2000 when 'reachable' then 1500 when 'heuristic' then 1000 when 'ambiguous' then 500 else 0 end
- + match_score + least(greatest(proximity, 0), 750) + least(greatest(project, 0), 350) + case when kind in ('function', 'macro') then 800 when kind = 'variable' then -225 else 0 end + least(700, 120 * (length(name) % 9)) as rank,
- tier = 'global' and not regexp_matches(sources, 'local|overlay') and (contains(sources, 'word') or confidence = 'fallback') as low_trust from {_MERGED})""",
+ + match_score + least(greatest(proximity, 0), 750) + least(greatest(project, 0), 350) + case when kind in ('function', 'macro') then 800 when kind = 'variable' then -225 else 0 end + least(700, 120 * accepts) as rank,
+ tier = 'global' and not regexp_matches(sources, 'local|overlay') and (contains(sources, 'word') or confidence = 'fallback') as low_trust from {_ACCEPTED})""",
     "x12_intent_matrix": _matrix_sql(),
     "a15_usage": f"select * from {_USAGE}",
     "x14_proximity": f"select path, name, least(200, case when cursor - nearest <= 32 then 120 when cursor - nearest <= 128 then 90 when cursor - nearest <= 512 then 60 when cursor - nearest <= 2048 then 30 else 10 end + 20 * least(uses - 1, 4))::int as proximity from {_USAGE}",

@@ -315,13 +315,10 @@ def p2_definitions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_completion(spark: SparkSession, folder: str) -> DataFrame:
-    """The hundred completions of the prefix re, in their final order."""
-    m = K.merged(CQ._evidence(spark, folder)).withColumn("score_", N.match_score(F.lit("re"), F.col("name")))
-    m = m.where(F.col("score_").isNotNull() & N.passes_short_gate(F.lit("re"), F.col("score_")))
-    rank = m.join(CQ.x11_final_rank(spark, folder).select("name", "final_rank"), "name").withColumn("match_class", N.match_class(F.lit("re"), F.col("name")))
+    """The hundred completions of each request, in their final order."""
+    rank = CQ.ranked_evidence(spark, folder).join(CQ.requests(spark, folder), "current").withColumn("match_class", N.match_class(F.col("prefix"), F.col("name")))
     order = [F.desc("match_class"), F.desc("final_rank"), F.desc(R.lookup(F.col("source"), R.SOURCE_PRIORITY)), F.desc("match_score"), F.char_length("name"), F.col("name")]
-    top = rank.orderBy(*order).limit(100)
-    return top.withColumn("position", F.row_number().over(Window.orderBy(*order))).select("position", "name", "final_rank")
+    return rank.withColumn("position", F.row_number().over(Window.partitionBy("current").orderBy(*order))).where("position <= 100").select("current", "position", "name", "final_rank")
 
 
 def p6_member_completion(spark: SparkSession, folder: str) -> DataFrame:
@@ -434,7 +431,7 @@ SQL = {
  select query, status, case when status = 'unique_record' then name end as record, depth from c where status is not null""",
     "j21_member_chains": f"with m as (select name as owner, count(distinct target) n, min(target) t from {_ALIASES} group by 1) select a.owner as chain_id, b.t as record, a.n > 1 or b.n > 1 as ambiguous from m a join m b on b.owner = a.t",
     "q_p2_definitions": f"select query, row_number() over (partition by query order by packed desc, path, start_line, id) as place, id, packed from (select *, tier_rank * 2048 + {CQ._DEFBASE} + {CQ._LOCAL} as packed from (select *, min(rr) over (partition by query, group_key) b from (select *, case role when 'definition' then 0 when 'tentative' then 1 when 'declaration' then 2 when 'unknown' then 3 else 9 end rr from {CQ._FOCUSED} where focused)) where case when b = 9 then position = 1 else rr = b end)",
-    "q_p5_completion": f"with r as ({CQ.SQL['x11_final_rank']}), m as (select *, {NQ._sql_score(chr(39) + 're' + chr(39), 'name')} as s from {CQ._MERGED}) select row_number() over (order by case when lower(name) = 're' then 2 when starts_with(lower(name), 're') then 1 else 0 end desc, final_rank desc, {_SRC} desc, match_score desc, length(name), name) as position, name, final_rank from m join r using (name) where s >= 650 order by position limit 100",
+    "q_p5_completion": f"select current, position, name, final_rank from (select r.current, r.name, r.final_rank, row_number() over (partition by r.current order by case when lower(r.name) = lower(q.prefix) then 2 when starts_with(lower(r.name), lower(q.prefix)) then 1 else 0 end desc, r.final_rank desc, {_SRC} desc, match_score desc, length(r.name), r.name) as position from ({CQ.SQL['x11_final_rank']}) r join {CQ._MERGED} m on m.current = r.current and m.name = r.name join {CQ._REQUESTS} q on q.current = r.current) where position <= 100",
     "q_p10_signature_help": f"select site_id, n, id, presentation_signature from (select c.site_id, a.id, a.presentation_signature, row_number() over (partition by c.site_id order by case c.compatibility when 'compatible' then 0 when 'unknown' then 1 else 2 end, a.path, a.start_byte, a.id) as n from ({CQ.SQL['q_p18_callable_candidates']}) c join {LIVE_SQL} a using (id)) where n <= 10",
     "q_p13_possible_targets": f"select query, id, tier, group_tier = max(group_tier) over (partition by query) as focused, position from {CQ._GROUPED}",
     "q_p17_resolved_handles": f"select id, presentation_signature from {LIVE_SQL} where name is null or path is null or length(path) % 7 <> 0",

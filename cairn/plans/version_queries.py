@@ -251,8 +251,8 @@ def f15_line_range(spark: SparkSession, folder: str) -> DataFrame:
 
 def f16_low_trust(spark: SparkSession, folder: str) -> DataFrame:
     """Names whose evidence is of low trust."""
-    m = K.merged(CQ._evidence(spark, folder))
-    return m.where(R.low_trust(F.col("tier"), F.col("confidence"), F.col("sources").rlike("local|overlay"), F.col("sources").contains("word"))).select("name")
+    m = K.merged(CQ._evidence(spark, folder), ["current"])
+    return m.where(R.low_trust(F.col("tier"), F.col("confidence"), F.col("sources").rlike("local|overlay"), F.col("sources").contains("word"))).select("current", "name")
 
 
 def f17_rescue_suppression(spark: SparkSession, folder: str) -> DataFrame:
@@ -369,7 +369,7 @@ SQL = {
     "w10_relative_tokens": f"select id, line - coalesce(pl, 0) as delta_line, case when line - coalesce(pl, 0) = 0 then start - coalesce(ps, 0) else start end as delta_start, length from (select id, line, start, length, lag(line) over w pl, lag(start) over w ps from (select id, path, callee_range.start_line as line, callee_range.start_character as start, callee_range.end_character - callee_range.start_character as length from {SITES_SQL} where path is not null) window w as (partition by path order by line, start, id))",
     "f12_role_gate": "select kind, role, case when role = 'declaration' then false when kind = 'type' then role in ('type_use', 'definition', 'read') when kind in ('macro', 'enum_member') then true else role <> 'type_use' end as allowed from (values ('type'), ('macro'), ('enum_member'), ('parameter'), ('variable')) k(kind), (values ('declaration'), ('definition'), ('call'), ('write'), ('type_use'), ('read')) r(role)",
     "f15_line_range": f"select id from {SITES_SQL} where callee_range.start_line between 10 and 20",
-    "f16_low_trust": f"select name from {CQ._MERGED} where tier = 'global' and not regexp_matches(sources, 'local|overlay') and (contains(sources, 'word') or confidence = 'fallback')",
+    "f16_low_trust": f"select current, name from {CQ._MERGED} where tier = 'global' and not regexp_matches(sources, 'local|overlay') and (contains(sources, 'word') or confidence = 'fallback')",
     "f17_rescue_suppression": f"with a as (select *, string_split({_DIR.format('path')}, '/')[-1] as scope from {LIVE_SQL} where path is not null and name is not null) select scope, id from a where external and not (length(scope) % 2 = 0 and scope in (select scope from a where not external group by 1 having count(distinct name) >= 8))",
     "t7_reference_order": f"select name, role, count(*) as n, min(position) as first_position from {_REFS_RANKED} group by 1, 2",
     "t13_include_candidates": f"with s as (select distinct path as src from source_texts where file_id % 100 = 0 and path is not null), h as (select path, lower(regexp_extract(path, '([^/]*)$', 1)) base from {FILES_SQL} where regexp_matches(lower(path), '[^/]\\.(h|hh|hpp|hxx|inl)$')), f as (select base, least(count(*), 20) n from h group by 1), c as (select s.src, h.path, least(49, case when {_DIR.format('s.src')} = {_DIR.format('h.path')} then 35 else 0 end + f.n - least(20, 3 * (length(h.path) - length(replace(h.path, '/', ''))))) as boost from s join h on split_part(s.src, '/', 1) = split_part(h.path, '/', 1) join f using (base)) select src, path, boost, position from (select *, row_number() over (partition by src order by boost desc, path) as position from c) where position <= 20",
