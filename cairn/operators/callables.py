@@ -43,6 +43,18 @@ def counterparts(anchors: DataFrame, reach: DataFrame) -> DataFrame:
     return out.select("id", evidence.alias("evidence"), F.coalesce("degree", F.lit(0)).alias("degree"), "counterpart_id")
 
 
+def ranges_at(points: DataFrame, ranges: DataFrame, keys: list[str], lines: int = 32) -> DataFrame:
+    """Points with every range that holds them, both ends included.
+
+    points: ``keys, line, character, ...``; ranges: ``keys, first, last`` (structs of line and character), ``...``. A join on the keys and on blocks of
+    ``lines`` lines, so that a long file's points meet only the ranges near them. Null ends and places hold nothing.
+    """
+    p = points.withColumn("_block", F.floor(F.col("line") / lines))
+    r = ranges.withColumn("_block", F.explode(F.sequence(F.floor(F.col("first.line") / lines), F.greatest(F.floor(F.col("last.line") / lines), F.floor(F.col("first.line") / lines)))))
+    at = F.struct("line", "character")
+    return p.join(r, [*keys, "_block"]).where((at >= F.col("first")) & (at <= F.col("last"))).drop("_block")
+
+
 def arity_policy(candidates: DataFrame, group: str, n: Column) -> DataFrame:
     """Candidates of each group after the arity policy, with ``compatibility`` and ``outcome``.
 

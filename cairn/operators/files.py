@@ -22,16 +22,21 @@ def rescued(primary: DataFrame, rescue: DataFrame, scope: str, closed: Column, e
 
 
 def include_candidates(sources: DataFrame, headers: DataFrame, limit: int) -> DataFrame:
-    """``(src, path, boost, position)``: headers of the source's own top directory, by directory, frequency of the base name and depth."""
+    """``(src, path, boost, position)``: headers of the source's own top directory, by directory, frequency of the base name and depth.
+
+    Only the first ``limit`` headers of each top directory and of each directory can be offered; they are ranked once, before any source is looked at.
+    """
     base = N.lower_ascii(P.basename(F.col("path")))
-    h = headers.select("path", base.alias("base"), F.split("path", "/")[0].alias("top"))
+    h = headers.select("path", base.alias("base"), F.split("path", "/")[0].alias("top"), P.dirname(F.col("path")).alias("dir"))
     freq = h.groupBy("base").agg(F.least(F.count("*"), F.lit(20)).alias("freq"))
-    pairs = sources.select("src", F.split("src", "/")[0].alias("top")).join(h.join(freq, "base"), "top")
     depth = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
-    same = F.when(P.dirname(F.col("src")) == P.dirname(F.col("path")), 35).otherwise(0)
-    pairs = pairs.withColumn("boost", F.least(same + F.col("freq") - F.least(depth * 3, F.lit(20)), F.lit(49)))
+    worth = h.join(freq, "base").withColumn("worth", F.col("freq") - F.least(depth * 3, F.lit(20))).withColumn("near", F.least(F.col("worth") + 35, F.lit(49)))
+    first = lambda key, by: worth.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(by), "path"))).where(F.col("_r") <= limit)
+    s = sources.select("src", F.split("src", "/")[0].alias("top"), P.dirname(F.col("src")).alias("own"))
+    far = s.join(first("top", "worth"), "top").where("own <> dir").select("src", "path", F.col("worth").alias("boost"))
+    near = s.drop("top").join(first("dir", "near"), F.col("own") == F.col("dir")).select("src", "path", F.col("near").alias("boost"))
     w = Window.partitionBy("src").orderBy(F.desc("boost"), "path")
-    return pairs.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
+    return far.unionByName(near).withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
 
 
 def classified_changes(events: DataFrame, config_file: str = "cairn.json") -> DataFrame:

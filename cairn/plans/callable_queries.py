@@ -139,10 +139,11 @@ def t10_cursors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def f9_point_in_range(spark: SparkSession, folder: str) -> DataFrame:
-    """Anchors whose name range holds the place where a call of the same file begins."""
-    s = sites(spark, folder).select(F.col("id").alias("site_id"), "path", F.struct(F.col("expression_range.start_line").alias("l"), F.col("expression_range.start_character").alias("c")).alias("at"))
-    a = live_anchors(spark, folder).where("has_body").select("id", "path", F.struct(F.col("body_range.start_line").alias("l"), F.col("body_range.start_character").alias("c")).alias("a"), F.struct(F.col("body_range.end_line").alias("l"), F.col("body_range.end_character").alias("c")).alias("b"))
-    return s.join(a, "path").where((F.col("at") >= F.col("a")) & (F.col("at") <= F.col("b"))).select("site_id", "id")
+    """Anchors whose body holds the place where a call of the same file begins."""
+    s = sites(spark, folder).select(F.col("id").alias("site_id"), "path", F.col("expression_range.start_line").alias("line"), F.col("expression_range.start_character").alias("character"))
+    at = lambda end: F.struct(F.col(f"body_range.{end}_line").alias("line"), F.col(f"body_range.{end}_character").alias("character"))
+    a = live_anchors(spark, folder).where("has_body").select("id", "path", at("start").alias("first"), at("end").alias("last"))
+    return C.ranges_at(s, a, ["path"]).select("site_id", "id")
 
 
 def f10_arity(spark: SparkSession, folder: str) -> DataFrame:

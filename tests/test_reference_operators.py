@@ -375,3 +375,33 @@ def test_proto_sources(spark):
     h = spark.createDataFrame([("a/x.pb-c.h",), ("gen/Y.PB-C.H",), ("q.h",)], "path string")
     p = spark.createDataFrame([("a/x.proto",), ("z/x.proto",), ("k/y.proto",), ("l/y.proto",)], "path string")
     assert {tuple(r) for r in proto.proto_sources(h, p).collect()} == {("a/x.pb-c.h", "a/x.proto", "relative_path"), ("gen/Y.PB-C.H", "k/y.proto", "same_basename"), ("gen/Y.PB-C.H", "l/y.proto", "same_basename")}
+
+
+def test_ranges_at_points(spark):
+    """Blocks of lines change nothing: every range that holds a point, both ends included."""
+    rnd = random.Random(2)
+    points = [(i, rnd.choice(["a", "b", None]), rnd.randrange(90), rnd.randrange(4)) for i in range(60)] + [(60, "a", None, 1)]
+    ranges = [(i, rnd.choice(["a", "b", None]), (s := rnd.randrange(80), rnd.randrange(4)), (s + rnd.randrange(40), rnd.randrange(4))) for i in range(30)]
+    p = spark.createDataFrame(points, "site int, path string, line int, character int")
+    pair = "struct<line int, character int>"
+    r = spark.createDataFrame(ranges, f"id int, path string, first {pair}, last {pair}")
+    got = {(x["site"], x["id"]) for x in C.ranges_at(p, r, ["path"], lines=7).select("site", "id").collect()}
+    assert got == {(i, k) for i, a, line, col in points for k, b, s, e in ranges if a is not None and a == b and line is not None and s <= (line, col) <= e}
+
+
+def test_include_candidates_are_those_of_all_pairs(spark):
+    rnd = random.Random(3)
+    heads = sorted({"/".join([rnd.choice("pq"), *[rnd.choice("xyz") for _ in range(rnd.randrange(3))], rnd.choice(["a.h", "b.h", "c.h", "d.h"])]) for _ in range(60)})
+    sources = ["p/x/m.c", "p/m.c", "q/z/y/m.c", "r/m.c"]
+    got = FL.include_candidates(spark.createDataFrame([(s,) for s in sources], "src string"), spark.createDataFrame([(h,) for h in heads], "path string"), 5).collect()
+    freq = {h: min(20, sum(x.rsplit("/", 1)[-1] == h.rsplit("/", 1)[-1] for x in heads)) for h in heads}
+    for s in sources:
+        every = [(-min(49, (35 if s.rsplit("/", 1)[0] == h.rsplit("/", 1)[0] else 0) + freq[h] - min(20, 3 * h.count("/"))), h) for h in heads if h.split("/")[0] == s.split("/")[0]]
+        assert [(r["boost"], r["path"]) for r in sorted(got, key=lambda r: r["position"]) if r["src"] == s] == [(-b, h) for b, h in sorted(every)[:5]]
+
+
+def test_names_by_the_start_of_a_word(spark):
+    names = ["reset", "hard_reset", "Aread", "doRead", "x1", "r", "", None, "prere", "re"]
+    n, asked = spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([("re",), ("R",), ("1",), ("abc",), (None,)], "prefix string")
+    got = {(r["prefix"], r["name"]) for r in search.by_word_start(n, asked).collect()}
+    assert got == {("re", "reset"), ("re", "hard_reset"), ("re", "doRead"), ("re", "re"), ("R", "reset"), ("R", "r"), ("R", "re"), ("R", "doRead"), ("1", "x1")}
