@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 BITS_PER_SEED, MOST_BITS = 32, 1 << 29
 #: Bits of one row that Spark aggregates a bit field in (fixed value).
 _CHUNK = 32_768
+#: Bytes of text that are turned into numbers at once (a bound on a worker's memory only; one text is never cut).
+PART_BYTES = 1 << 23
 #: Spellings kept per worker with their code (a bound on memory only).
 CACHE_WORDS = 500_000
 _known: dict[str, int] = {}
@@ -80,6 +83,16 @@ def _windows(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     return first[own], hashes[own]
 
 
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about :data:`PART_BYTES` of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 # --- tiling ---------------------------------------------------------------------------------------------------------
 def _common(doc: np.ndarray, item: np.ndarray, n: int, free_doc: np.ndarray, free_item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places and hashes of the wholly unmarked windows of ``n`` codes that both sides have."""
@@ -178,7 +191,7 @@ def _seeds(items: DataFrame, least: int) -> DataFrame:
     kind = items.schema["item_id"].dataType.simpleString()
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in _parts(b, 1)):
             at, h = _windows(batch.column(1).to_pylist(), least)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(h.view(np.int64))], ["item_id", "seed"])
 
@@ -221,7 +234,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_id: str, item_id:
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, bits = held.value
-        for batch in batches:
+        for batch in (p for b in batches for p in _parts(b, 1)):
             texts = batch.column(1).to_pylist()
             at, h = _windows(texts, least)
             slot = _slot(h, bits)

@@ -196,6 +196,7 @@ def brute_leaks(docs, items, n):
 @pytest.mark.parametrize("most_bits", [1 << 29, 1 << 15])
 def test_leaks(spark, monkeypatch, most_bits):
     monkeypatch.setattr(leaks, "MOST_BITS", most_bits)
+    monkeypatch.setattr(leaks, "PART_BYTES", 100)
     rnd = random.Random(6)
     text = lambda k: " ".join(rnd.choice(["a", "B", "c_d", "é", "x"]) for _ in range(k))
     items = [(i, text(12), "s") for i in range(12)] + [(50, None, "s"), (51, "", "s"), (52, "a b", "s")]
