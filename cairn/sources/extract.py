@@ -140,10 +140,20 @@ def _squeezed(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
+_CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})[^\r\n]*", re.M)
+
+
+def _as_conditional(text: str) -> str:
+    """The remains of a merge as conditional directives of the same length, so that sides that open a brace each do not swallow the rest of the file."""
+    word = {"<": "#if 1", "=": "#else", "|": "#else", ">": "#endif"}
+    return _CONFLICT.sub(lambda m: word[m[0][0]].ljust(len(m[0])), text)
+
+
 class CFamily:
     """One file of C or C++."""
 
     def __init__(self, text: str, path: str, cpp: bool):
+        text = _as_conditional(text)
         self.text, self.path, self.cpp = text, path, cpp
         self.places = Places(text)
         every = tokens(text, go=False)

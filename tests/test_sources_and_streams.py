@@ -290,3 +290,8 @@ def test_ignore_files_of_a_tree(spark, tmp_path):
     assert {r["path"] for r in scan.discover(spark, str(tmp_path)).collect()} == want
     assert {r["path"] for r in scan.read_texts(spark, str(tmp_path)).collect()} == want
     assert P.ignore_rules([("", "")]) == []
+
+
+def test_functions_behind_the_remains_of_a_merge():
+    text = "int a(int x) {\n<<<<<<< ours\n  if (x) {\n=======\n  if (!x) {\n>>>>>>> theirs\n    b();\n  }\n}\nint c(void) { return 1; }\n"
+    assert [(f.name, f.role, f.body_end_line) for f in X.facts_of("a.c", text) if f.fact == "callable"] == [("a", "definition", 8), ("c", "definition", 9)]
