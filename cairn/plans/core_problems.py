@@ -113,6 +113,12 @@ select 'callable_anchors', name from callable_anchors where name is not null gro
 
 P3_COUNTS_SQL = "select callee_name, count(*) as n_rows from call_sites group by 1"
 
+P3_RUNS_SQL = """
+with r as (select callee_name, generation, row_number() over () as n from call_sites),
+ w as (select *, row_number() over (partition by callee_name order by n) as k, count(*) over (partition by callee_name) as m, lag(generation) over (partition by callee_name order by n) as p from r)
+select callee_name, count(*) as n_rows, count(*) filter (where k = 1 or generation is distinct from p) as n_runs, max(generation) filter (where k = 1) as first_generation, max(generation) filter (where k = m) as last_generation from w group by 1
+"""
+
 P4_FOUND_SQL = """
 select distinct 'caller_entity_key' as ref_field, generation, id as site_id from call_sites s where caller_entity_key is not null and generation is not null and not exists
  (select 1 from callable_anchors a where lower(a.entity_key) = lower(s.caller_entity_key) and a.generation <= s.generation and (a.retired_generation is null or a.retired_generation > s.generation))
@@ -128,6 +134,7 @@ SQL = {
     "p2_found": P2_FOUND_SQL,
     "p3_found": P3_FOUND_SQL,
     "p3_callee_counts": P3_COUNTS_SQL,
+    "p3_callee_runs": P3_RUNS_SQL,
     "p4_found": P4_FOUND_SQL,
     "p4_report": f"select ref_field, generation, count(*) as n_orphans from ({P4_FOUND_SQL}) group by 1, 2",
 }
