@@ -115,3 +115,11 @@ def merged(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
         *[F.max(c).alias(c) for c in ("score", "match_score", "proximity", "project")],
         F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"),
     ).select(*(keys or []), "name", F.col("w.source").alias("source"), F.col("w.role").alias("role"), F.col("w.kind").alias("kind"), "tier", "confidence", "score", "match_score", "proximity", "project", "sources")
+
+
+def dominant_kind(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, dominant)``: the label that most rows have, null on a tie. rows: ``keys, label, own``; where a key has rows with ``own`` 1 only those count."""
+    per = rows.groupBy(*keys, "own", "label").agg(F.count("*").alias("n"))  # few rows per key from here on
+    w = Window.partitionBy(*keys)
+    top = per.withColumn("best", F.max("own").over(w)).where("own = best").withColumn("most", F.max("n").over(w)).where("n = most")
+    return top.groupBy(*keys).agg(F.when(F.count("*") == 1, F.max("label")).alias("dominant"))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.common import fresh_folder, table
+from cairn.functions import cursor as U
 from cairn.functions import ranking as R
 from cairn.operators import callables as C
+from cairn.operators import candidates as K
 from cairn.operators import files as FL
 from cairn.operators import search
 from cairn.operators import versions as V
 from cairn.plans import callable_queries as CQ
 from cairn.plans import fact_queries as FQ
+from cairn.plans import graph_queries as GQ
 from cairn.plans import name_queries as NQ
 from cairn.plans import version_queries as VQ
 from cairn.plans.base import LIVE_SQL, SITES_SQL, live_anchors, sites
@@ -43,6 +47,27 @@ def j23_scope_tiers(spark: SparkSession, folder: str) -> DataFrame:
     return CQ._candidates(spark, folder).select("query", "id", "tier")
 
 
+def _colorable(spark: SparkSession, folder: str) -> DataFrame:
+    """Macros, types and enumerators that bear a name used in a stated file (ids divisible by 100) and lie in its colouring scope: ``current, name, label, path``."""
+    stated = FQ._texts(spark, folder).where("file_id % 100 = 0")
+    words = U.apply(stated, ["path", "text"], lambda p, x: [(w,) for w in X.extract_words(x, p.lower().endswith(".go"))], "word string", pa.schema([("word", pa.string())]), ["path"])
+    label = F.when(F.col("kind").isin("type", "alias"), "type").when(F.col("kind") == "macro", "macro").when(F.col("kind") == "enum_constant", "enum_member")
+    found = FQ._facts(spark, folder, "declaration").select("name", label.alias("label"), "path", F.startswith("path", F.lit("/")).alias("external")).where("label is not null")
+    used = words.select(F.col("path").alias("current"), F.col("word").alias("name")).distinct().join(found, "name")
+    used = K.with_tiers(used, *GQ.reach_of(spark, folder, stated.select(F.col("path").alias("origin")).distinct()))
+    return used.where(R.coloring_allowed(F.col("tier"), F.col("in_heuristic"))).select("current", "name", "label", "path")
+
+
+def a4_scoped_kind_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Colourable kinds of the names of each stated file, counted over its colouring scope."""
+    return _colorable(spark, folder).groupBy("current", "name", "label").agg(F.count("*").alias("n"))
+
+
+def a5_dominant_kind(spark: SparkSession, folder: str) -> DataFrame:
+    """The kind that colours each name: the one that most declarations have, those of the file itself before all others; nothing on a tie."""
+    return K.dominant_kind(_colorable(spark, folder).withColumn("own", (F.col("path") == F.col("current")).cast("int")), ["current", "name"])
+
+
 def w5_degrees(spark: SparkSession, folder: str) -> DataFrame:
     """Links of each definition and header declaration."""
     return CQ.j16_counterparts(spark, folder).where("degree > 0").select("id", "degree")
@@ -152,10 +177,15 @@ def r9_live_overlay(spark: SparkSession, folder: str) -> DataFrame:
     return s.join(own.select("path").distinct(), "path", "left_anti").unionByName(own.where("generation <> 1").select("path", "id", "generation")).select("id", "path")
 
 
-QUERIES = {f.__name__: f for f in (s4_external_modules, s10_proto_scan, s13_staged_rows, j23_scope_tiers, w5_degrees, t12_fallback_order, x10_scope_labels, x25_signature_shapes, x26_canonical_signatures, x32_labels, x34_builtins, e2_visited_files, r3_debounced, r6_pinned_read, r7_committed, r9_live_overlay)}
+QUERIES = {f.__name__: f for f in (a4_scoped_kind_counts, a5_dominant_kind, s4_external_modules, s10_proto_scan, s13_staged_rows, j23_scope_tiers, w5_degrees, t12_fallback_order, x10_scope_labels, x25_signature_shapes, x26_canonical_signatures, x32_labels, x34_builtins, e2_visited_files, r3_debounced, r6_pinned_read, r7_committed, r9_live_overlay)}
 QUERIES |= {"q_" + f.__name__: f for f in (p1_symbols, p4_calls, p7_include_completion, p16_index_report)}
 
+_STATED_WORDS = f"(select t.path as current, w.word as name from (select revision_id, path from {FQ._TEXTS} where file_id % 100 = 0) t join ({FQ.SQL['x21_words']}) w using (revision_id))"
+_KINDS = f"(select owner as name, 'type' as label, path from {FQ._BODIES} union all select m.name, 'macro', t.path from ({FQ.SQL['e4_macros']}) m join {FQ._TEXTS} t on t.revision_id = m.file_id)"
+_COLORABLE = f"(select current, name, label, path from {CQ.tiered_sql(f'(select w.current, k.*, starts_with(k.path, chr(47)) as external from {_STATED_WORDS} w join {_KINDS} k using (name))')} where tier in ('current', 'reachable', 'external') or (tier = 'unknown' and in_heuristic))"
 SQL = {
+    "a4_scoped_kind_counts": f"select current, name, label, count(*) as n from {_COLORABLE} group by 1, 2, 3",
+    "a5_dominant_kind": f"select current, name, case when count(*) = 1 then max(label) end as dominant from (select *, max(n) over (partition by current, name) as most from (select current, name, label, count(*) as n from (select *, max((path = current)::int) over (partition by current, name) as best from {_COLORABLE}) where (path = current)::int = best group by 1, 2, 3)) where n = most group by 1, 2",
     "t12_fallback_order": f"select position, lower_name, kind from {FQ._FALLBACK} where position <= 40",
     "s4_external_modules": f"with e as (select *, split_part(path, '/', 1) as root from {VQ._ENTRIES} where lower(extension) = 'go') select root, path from e where root in (select root from e group by 1 having count(*) <= 20000 and coalesce(sum(size), 0) <= 536870912)",
     "s13_staged_rows": f"select generation, count(*) as n from {SITES_SQL} where generation in (1, 2, 3) group by 1",

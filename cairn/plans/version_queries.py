@@ -162,19 +162,6 @@ def a3_kind_counts(spark: SparkSession, folder: str) -> DataFrame:
     return a.groupBy("name", "kind").agg(F.count("*").alias("n"))
 
 
-def a4_scoped_kind_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Names by label over the workspace, roles aside."""
-    label = F.when(F.col("kind") == "function_like_macro", "macro").when(F.col("kind") == "function", "function").otherwise("other")
-    return live_anchors(spark, folder).where("not external and name is not null").groupBy("name", label.alias("label")).agg(F.count("*").alias("n"))
-
-
-def a5_dominant_role(spark: SparkSession, folder: str) -> DataFrame:
-    """The one role that most anchors of a name have; nothing on a tie."""
-    c = live_anchors(spark, folder).where("name is not null").groupBy("name", "linkage_kind").agg(F.count("*").alias("n"))
-    c = c.withColumn("most", F.max("n").over(Window.partitionBy("name"))).where("n = most")
-    return c.groupBy("name").agg(F.when(F.count("*") == 1, F.max("linkage_kind")).alias("dominant"))
-
-
 def a6_largest_path(spark: SparkSession, folder: str) -> DataFrame:
     """The path with the most anchors."""
     return live_anchors(spark, folder).where("path is not null").groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(1)
@@ -329,7 +316,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s1_scan, s3_capped_roots, s5_scope, s7_language, s8_to_parse, s12_markers, f1_active_facts, j1_active_revisions, f19_fact_mask, j6_effective, u1_union_all, j7_obsolete, j19_overlay, j24_merged_roots, u2_unreferenced, u3_missing,
-        a1_counts, a2_coverage, a3_kind_counts, a4_scoped_kind_counts, a5_dominant_role, a6_largest_path, a14_accept_counts, x13_history_boost, s15_newest_accepts, a16_basename_counts, a20_size_categories, a21_recall_metrics, a22_extensions,
+        a1_counts, a2_coverage, a3_kind_counts, a6_largest_path, a14_accept_counts, x13_history_boost, s15_newest_accepts, a16_basename_counts, a20_size_categories, a21_recall_metrics, a22_extensions,
         w1_focused_candidate, t4_declaration_order, w10_relative_tokens, f12_role_gate, f15_line_range, f16_low_trust, f17_rescue_suppression, t7_reference_order, t13_include_candidates, x31_paths, r1_change_classes, r2_coalesced,
     )
 } | {"q_p3_references": p3_references, "q_p15_projects": p15_projects}
@@ -354,8 +341,6 @@ SQL = {
     "a1_counts": f"select count(*) as declarations, count(*) filter (where external) as external, (select count(distinct id) from file_revisions) as revisions from {LIVE_SQL}",
     "a2_coverage": "select repo, count(*) as revisions, count(*) filter (where fact_mask & 128 <> 0) as with_calls, count(*) filter (where parse_error_count > 0) as with_errors, count(*) filter (where fallback_used > 0) as fallbacks from (select distinct id, repo, fact_mask, parse_error_count, fallback_used from file_revisions) group by 1",
     "a3_kind_counts": f"select name, kind, count(*) as n from {LIVE_SQL} where role = 'definition' and (not external or directly_included) and name is not null group by 1, 2",
-    "a4_scoped_kind_counts": f"select name, case kind when 'function_like_macro' then 'macro' when 'function' then 'function' else 'other' end as label, count(*) as n from {LIVE_SQL} where not external and name is not null group by 1, 2",
-    "a5_dominant_role": f"select name, case when count(*) = 1 then max(linkage_kind) end as dominant from (select name, linkage_kind, count(*) n, max(count(*)) over (partition by name) most from {LIVE_SQL} where name is not null group by 1, 2) where n = most group by 1",
     "a6_largest_path": f"select path, count(*) as n from {LIVE_SQL} where path is not null group by 1 order by n desc, path limit 1",
     "a14_accept_counts": f"select user_id, event_type, bucket, count(*) as accepts from {_ACCEPTS} group by 1, 2, 3",
     "x13_history_boost": f"select user_id, event_type, least(700, 120 * count(*))::int as boost from {_ACCEPTS} group by 1, 2",

@@ -405,3 +405,9 @@ def test_names_by_the_start_of_a_word(spark):
     n, asked = spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([("re",), ("R",), ("1",), ("abc",), (None,)], "prefix string")
     got = {(r["prefix"], r["name"]) for r in search.by_word_start(n, asked).collect()}
     assert got == {("re", "reset"), ("re", "hard_reset"), ("re", "doRead"), ("re", "re"), ("R", "reset"), ("R", "r"), ("R", "re"), ("R", "doRead"), ("1", "x1")}
+
+
+def test_dominant_kind(spark):
+    rows = [("f", "a", "type", 0), ("f", "a", "type", 0), ("f", "a", "macro", 0), ("f", "b", "type", 0), ("f", "b", "macro", 0), ("f", "c", "type", 0), ("f", "c", "type", 0), ("f", "c", "macro", 1), ("g", "a", "enum_member", 1)]
+    got = {(r["current"], r["name"]): r["dominant"] for r in K.dominant_kind(spark.createDataFrame(rows, "current string, name string, label string, own int"), ["current", "name"]).collect()}
+    assert got == {("f", "a"): "type", ("f", "b"): None, ("f", "c"): "macro", ("g", "a"): "enum_member"}
