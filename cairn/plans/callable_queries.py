@@ -82,7 +82,8 @@ def j16_counterparts(spark: SparkSession, folder: str) -> DataFrame:
 def _counterparts(spark: SparkSession, folder: str) -> DataFrame:
     a = live_anchors(spark, folder)
     asked = C.counterpart_sources(a).withColumnRenamed("source_path", "origin")
-    reached = GQ.reach_of(spark, folder, asked)[0].where("not is_heuristic")
+    # What is proven is what proven edges alone reach; guesses, of which there are many more, need not be followed.
+    reached = GQ.reach_of(spark, folder, asked, proven=True)[0]
     return C.counterparts(a, reached.select(F.col("origin").alias("source_path"), F.col("path").alias("header_path")))
 
 
