@@ -217,6 +217,20 @@ def test_reach_of_a_star_beyond_the_limit(spark):
     assert [tuple(r) for r in scope.collect()] == [("start.h", True, "node_limit")]
 
 
+def test_reach_counts_a_file_once(spark):
+    """A file that arrives along a guess and along proven edges in one round counts once towards the limit; asked files are those of the whole reach."""
+    edges = [("o", "a", "suffix_match"), ("o", "b", "workspace_exact"), ("a", "x", "workspace_exact"), ("b", "x", "workspace_exact"), ("x", "y", "suffix_match"), ("x", "z", "workspace_exact")]
+    args = spark.createDataFrame([("o",), ("lone",)], "origin string"), spark.createDataFrame(edges, "src string, dst string, resolution string"), spark.createDataFrame([("z", "unresolved_include")], "src string, reason string")
+    f, s = graph.reach(*args, max_nodes=5)
+    files, guessed, scope = walked("o", edges, {"z": "unresolved_include"}, 32, 5)
+    rows = [r for r in f.collect() if r["origin"] == "o"]
+    assert {r["path"] for r in rows if not r["is_heuristic"]} == files == {"o", "b", "x"} and {r["path"] for r in rows if r["is_heuristic"]} == guessed == {"a", "y"}
+    assert {tuple(r) for r in s.collect()} == {("o", *scope), ("lone", False, None)} and scope == (True, "node_limit")
+    asked = spark.createDataFrame([("o", "y"), ("o", "z"), ("o", "x"), ("o", "o"), ("lone", "lone"), ("lone", "x"), ("o", "none"), (None, "x")], "origin string, path string")
+    f, again = graph.reach(*args, max_nodes=5, wanted=asked)
+    assert {tuple(r) for r in f.collect()} == {("o", "y", True, 3), ("o", "x", False, 2), ("o", "o", False, 0), ("lone", "lone", False, 0)} and again.collect() and set(again.collect()) == set(s.collect())
+
+
 def test_package_reach_has_no_promotion(spark):
     e = spark.createDataFrame([("p", "q", "heuristic"), ("p", "r", "exact"), ("r", "q", "exact")], "src string, dst string, resolution string")
     m = spark.createDataFrame([(x, f"{x}/1.go") for x in "pqr"], "package string, path string")
@@ -249,6 +263,21 @@ def test_counterparts(spark):
     assert all(got[i] == ("unpaired", 0, None) for i in (6, 7, 8, 9))
 
 
+def test_guesses_count_towards_the_reach_of_pairings(spark, monkeypatch):
+    """G9, X32: 4,094 guessed files and a header fill the reach of a source; a header behind them is not in it, though a proven edge leads there."""
+    from cairn.plans import callable_queries, graph_queries
+
+    edges = [("s.c", "a.h", "workspace_exact"), *[("s.c", f"g{i:04}.h", "suffix_match") for i in range(4094)], ("s.c", "z.h", "workspace_exact")]
+    e = spark.createDataFrame(edges, "src string, dst string, resolution string")
+    resolved = spark.createDataFrame([], "src string, status string")
+    anchors = [(1, "definition", "s.c", "f"), (2, "declaration", "a.h", "f"), (3, "definition", "s.c", "g"), (4, "declaration", "z.h", "g")]
+    a = spark.createDataFrame([(i, n, n, f"int {n}(int)", "function", None, "external", "ast_exact", r, p) for i, r, p, n in anchors], ANCHOR)
+    monkeypatch.setattr(graph_queries, "graph_of", lambda *_: (resolved, e))
+    monkeypatch.setattr(callable_queries, "live_anchors", lambda *_: a)
+    got = {r["id"]: r["evidence"] for r in callable_queries._counterparts(spark, "").collect()}
+    assert got == {1: "strict_one_to_one", 2: "strict_one_to_one", 3: "unpaired", 4: "unpaired"}
+
+
 def test_call_resolution(spark):
     ent = "entity string, family string, name string, qualified_name string, path string, kind string, owner string, owner_kind string, linkage_kind string, linkage_file string, min_arity int, max_arity int, variadic boolean"
     rows = [
