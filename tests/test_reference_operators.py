@@ -278,6 +278,21 @@ def test_guesses_count_towards_the_reach_of_pairings(spark, monkeypatch):
     assert got == {1: "strict_one_to_one", 2: "strict_one_to_one", 3: "unpaired", 4: "unpaired"}
 
 
+def test_labels_follow_the_whole_reach(spark, monkeypatch):
+    """X32: a header behind 4,095 guessed files is neither reachable nor paired."""
+    from cairn.plans import callable_queries, graph_queries, more_queries
+
+    edges = [*[("s.c", f"g{i:04}.h", "suffix_match") for i in range(4095)], ("s.c", "z.h", "workspace_exact")]
+    e = spark.createDataFrame(edges, "src string, dst string, resolution string")
+    rest = "entity_key string, guard string, start_byte int, start_line int, external boolean, syntax_error_overlap boolean"
+    rows = [(i, "g", "g", "int g(int)", "function", None, "external", "ast_exact", r, p, "g", None, 0, 0, False, False) for i, r, p in ((100, "definition", "s.c"), (200, "declaration", "z.h"))]
+    a = spark.createDataFrame(rows, f"{ANCHOR}, {rest}")
+    monkeypatch.setattr(graph_queries, "graph_of", lambda *_: (spark.createDataFrame([], "src string, status string"), e))
+    monkeypatch.setattr(callable_queries, "live_anchors", lambda *_: a)
+    monkeypatch.setattr(callable_queries, "kept", lambda *x: x[-1]())
+    assert {tuple(r) for r in more_queries.x32_labels(spark, "").collect()} == {("current", "current_visible"), ("unknown", "uncertain"), ("unpaired:0", "unpaired")}
+
+
 def test_call_resolution(spark):
     ent = "entity string, family string, name string, qualified_name string, path string, kind string, owner string, owner_kind string, linkage_kind string, linkage_file string, min_arity int, max_arity int, variadic boolean"
     rows = [
