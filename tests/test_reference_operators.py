@@ -293,6 +293,41 @@ def test_labels_follow_the_whole_reach(spark, monkeypatch):
     assert {tuple(r) for r in more_queries.x32_labels(spark, "").collect()} == {("current", "current_visible"), ("unknown", "uncertain"), ("unpaired:0", "unpaired")}
 
 
+def test_labels_need_one_search(spark, monkeypatch):
+    """X32: tiers and pairings come from one search, from the files whose answer can matter alone."""
+    from cairn.plans import callable_queries, graph_queries, more_queries
+
+    edges = [("s.c", "a.h", "workspace_exact"), ("t.c", "b.h", "suffix_match"), ("u.c", "m.h", "workspace_exact"), ("m.h", "c.h", "suffix_match"), ("v.c", "m.h", "workspace_exact"), ("n.h", "d.h", "workspace_exact")]
+    e = spark.createDataFrame(edges, "src string, dst string, resolution string")
+    rest = "entity_key string, guard string, start_byte int, start_line int, external boolean, syntax_error_overlap boolean"
+    named = [(1, "definition", "s.c", "f"), (2, "declaration", "a.h", "f"), (3, "definition", "t.c", "g"), (4, "declaration", "b.h", "g"), (5, "definition", "u.c", "h"), (6, "declaration", "c.h", "h"), (7, "definition", "v.c", "k"), (8, "declaration", "d.h", "k"), (100, "definition", "own.c", "alone"), (200, "definition", "p.c", "q"), (9, "definition", "z.c", "q")]
+    rows = [(i, n, n, f"int {n}(int)", "function", None, "external", "ast_exact", r, p, n, None, 0, 0, False, False) for i, r, p, n in named]
+    a = spark.createDataFrame(rows, f"{ANCHOR}, {rest}")
+    monkeypatch.setattr(graph_queries, "graph_of", lambda *_: (spark.createDataFrame([("p.c", "unresolved")], "src string, status string"), e))
+    monkeypatch.setattr(callable_queries, "live_anchors", lambda *_: a)
+    monkeypatch.setattr(callable_queries, "kept", lambda *x: x[-1]())
+    searched, search = [], graph.reach
+    monkeypatch.setattr(graph, "reach", lambda origins, *x, **k: (searched.append({r[0] for r in origins.collect()}), search(origins, *x, **k))[1])
+    assert {tuple(r) for r in more_queries.x32_labels(spark, "").collect()} == {("current", "current_visible"), ("unknown", "uncertain"), ("strict_one_to_one:1", "strict_one_to_one"), ("unpaired:0", "unpaired")}
+    assert searched == [{"s.c", "p.c", "v.c"}]  # t.c has only a guess to follow, c.h is only guessed, own.c has no other candidate
+
+
+def test_provable_pairs(spark):
+    e = spark.createDataFrame([("a", "b", "workspace_exact"), ("b", "c", "external_exact"), ("a", "d", "suffix_match"), ("e", "c", "suffix_match"), (None, "d", "workspace_exact")], "src string, dst string, resolution string")
+    pairs = spark.createDataFrame([("a", "c"), ("a", "d"), ("e", "c"), ("e", "e"), ("b", "b"), ("x", "c"), (None, "c"), ("a", None)], "origin string, path string")
+    assert sorted(map(tuple, graph.provable(pairs, e).collect())) == [("a", "c"), ("b", "b"), ("e", "e")]
+    proven = {(r["origin"], r["path"]) for r in graph.reach(pairs.select("origin"), e, spark.createDataFrame([], "src string, reason string"))[0].where("not is_heuristic").collect()}
+    assert proven & {tuple(r) for r in pairs.collect()} == {("a", "c"), ("b", "b"), ("e", "e")}
+
+
+def test_includes_of_no_source_lead_nowhere(spark):
+    f = spark.createDataFrame([("a/x.h", "workspace"), ("a/y.h", "workspace")], "path string, source string")
+    lines = [(None, '"a/x.h"'), (None, '"y.h"'), ("a/m.c", None), ("a/m.c", '"y.h"'), ("m.c", '"y.h"'), ("m.c", '"y.h"')]
+    got = {tuple(r)[:2]: tuple(r)[3:] for r in includes.resolve_includes(spark.createDataFrame(lines, "src string, target_text string"), f).collect()}
+    nowhere = ("unresolved", None, None, 0)
+    assert got == {(None, '"a/x.h"'): nowhere, (None, '"y.h"'): nowhere, ("a/m.c", None): nowhere, ("a/m.c", '"y.h"'): ("edge", "relative_exact", "a/y.h", 1), ("m.c", '"y.h"'): ("edge", "suffix_match", "a/y.h", 1)}
+
+
 def test_call_resolution(spark):
     ent = "entity string, family string, name string, qualified_name string, path string, kind string, owner string, owner_kind string, linkage_kind string, linkage_file string, min_arity int, max_arity int, variadic boolean"
     rows = [
